@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dredge.llm import decontamination, html_extraction, language_id, packing, substring_dedup, suffix_dedup, toxicity, warc
+from dredge.llm import decontamination, fingerprints, html_extraction, language_id, near_dedup, packing, substring_dedup, suffix_dedup, toxicity, warc
 from dredge.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.measure(table(spark, sf_dir, "documents"))
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.measure(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,6 +41,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.measure(table(spark, sf_dir, "documents"))
+
+
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(table(spark, sf_dir, "pages"))
 
@@ -50,7 +58,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_substring_dedup, op2_decontamination, op3_suffix_dedup, op5_toxicity, op6_warc, op8_html_extraction, op9_language_id, op10_packing)
+    every = (op1_substring_dedup, op2_decontamination, op3_suffix_dedup, op4_fingerprints, op5_toxicity, op6_warc, op7_near_dedup, op8_html_extraction, op9_language_id, op10_packing)
     return {f.__name__: f for f in every}
 
 
