@@ -1,29 +1,62 @@
 """A training-data pipeline of five stages over the documents table.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes every stage's rows to
-the shared folder and reads them back as the next stage's documents.
+the shared folder and reads them back as the next stage's documents. All stages but the last return
+the columns of documents; the last one returns the packed pieces.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dredge.llm import decontamination
+from dredge.llm import decontamination, near_dedup, packing, substring_dedup, toxicity
 from dredge.llm.common import table, written
+from dredge.llm.queries import tokenizer_path
+
+#: Words that a passage must have to be cut where it repeats across documents.
+PASSAGE = 50
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the noisy-or model, fitted to the labels, doesn't reject."""
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return near_dedup.dedup(docs)
+
+
+def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the passages of PASSAGE words or more that an earlier document has."""
+    return substring_dedup.dedup(docs, PASSAGE)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a notable share of benchmark passages."""
     return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("decontamination", decontaminate)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the remaining documents in sequences of at most 2048 tokens."""
+    return packing.packed(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_copies),
+    ("substring_dedup", cut_passages),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
 
 
+#: Neither the model of the first stage nor the packing of the last can be put in SQL.
 ORACLE_SQL = None
