@@ -117,14 +117,15 @@ def _runs(docs: DataFrame, unit: Unit) -> DataFrame:
         shared = anchors(docs, unit, False).groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
     else:
         shared = anchors(docs, unit, False).groupBy("h").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("h")
-    return written(anchors(docs, unit, True).join(shared, "h", "left_semi"), "runs")
+    # Written first: a join of two plain shuffles can split the rows of a hot anchor, one on top of an aggregate can't.
+    return written(anchors(docs, unit, True).join(written(shared, "shared"), "h", "left_semi"), "runs")
 
 
 def _places(runs: DataFrame, unit: Unit) -> DataFrame:
     """Written table doc_id -> places: (pos, r32, n); n = 0: covered run, else distinct runs of its anchor."""
     first = F.min(F.struct("doc", "pos")) if unit.within else F.min(F.struct("doc"))
-    distinct = runs.groupBy("h", "r").agg(first.alias("m"))
-    several = distinct.groupBy("h").agg(F.count("*").alias("n"))
+    distinct = written(runs.groupBy("h", "r").agg(first.alias("m")), "distinct")
+    several = written(distinct.groupBy("h").agg(F.count("*").alias("n")), "several")
     known = distinct.join(several, "h").select("h", "r", "m", "n")
     here = F.struct("doc", "pos") if unit.within else F.struct("doc")
     joined = runs.join(known, ["h", "r"]).withColumn("late", here > F.col("m"))
