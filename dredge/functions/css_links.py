@@ -16,7 +16,7 @@ _TOKEN = re.compile(
     r"|(?P<url>url\(\s*(?P<plain>(?:\\.|[^\\\"'()\s])*)\s*(?:\)|\Z))"
     r"|(?P<string>\"(?:\\.|[^\"\\\n])*(?:\"|\Z)|'(?:\\.|[^'\\\n])*(?:'|\Z))"
     r"|(?P<mark>[{};)])"
-    r"|(?P<word>[^\s{};()\"'@/]+|.)",
+    r"|(?P<word>[^\s{};()\"'@/:,]+|.)",
     re.S | re.I,
 )
 _ESCAPE = re.compile(r"\\(?:([0-9A-Fa-f]{1,6})\s?|\n|(.))", re.S)

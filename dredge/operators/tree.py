@@ -67,7 +67,7 @@ def complete(items: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | Non
         busy = items.where(has_work() & F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("item_id")).distinct().withColumn("__busy", F.lit(True))
         waits = F.col("status").isin("GotChildren", "GotRedirected")
         marked = items.join(busy, "item_id", "left").withColumn("__done", waits & F.col("__busy").isNull())
-        after = keep(marked.withColumn("status", F.when("__done", "Completed").otherwise(F.col("status"))), f"complete{n}")
+        after = keep(marked.withColumn("status", F.when(F.col("__done"), "Completed").otherwise(F.col("status"))), f"complete{n}")
         changed = not after.where("__done").isEmpty()
         items = after.select(items.columns)
         if not changed:

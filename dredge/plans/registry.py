@@ -1,4 +1,4 @@
-"""All queries of the crawl operators, with their SQL twins."""
+"""All queries of the crawl operators, over whole tables, with their SQL twins where SQL can say it."""
 
 from __future__ import annotations
 
@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from dredge.plans import fetching, linking, queueing, treeing, urls
+
+_PARTS = (urls, linking, queueing, treeing, fetching)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: f for part in _PARTS for name, (f, _) in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, (_, sql) in part.QUERIES.items() if sql}
