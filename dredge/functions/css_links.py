@@ -13,7 +13,7 @@ _TOKEN = re.compile(
     r"|(?P<import>@import\b)"
     r"|(?P<at>@[A-Za-z-]+)"
     r"|(?P<func>url\(\s*(?=[\"']))"
-    r"|(?P<url>url\(\s*(?P<plain>(?:\\.|[^\\\"'()\s])*)\s*(?:\)|\Z))"
+    r"|(?P<url>url\(\s*(?P<plain>(?:\\[0-9A-Fa-f]{1,6}\s?|\\.|[^\\\"'()\s])*)\s*(?:\)|\Z))"
     r"|(?P<string>\"(?:\\.|[^\"\\\n])*(?:\"|\Z)|'(?:\\.|[^'\\\n])*(?:'|\Z))"
     r"|(?P<mark>[{};)])"
     r"|(?P<word>[^\s{};()\"'@/:,]+|.)",
