@@ -22,7 +22,7 @@ _BASE = int(_rng.integers(2**58, 2**60)) * 8 + 5
 _BASE_INV = pow(_BASE, -1, 2**64)
 
 #: Bytes of text that one vectorised step handles; positions in a block need 24 bits.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 256 << 10
 _POS_BITS = np.uint64(24)
 _POS_MASK = np.uint64((1 << 24) - 1)
 
@@ -30,7 +30,7 @@ _POS_MASK = np.uint64((1 << 24) - 1)
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser that spreads every input bit over the 64 output bits."""
     x = x ^ (x >> np.uint64(31))
-    x = x * np.uint64(0x7FB5D329728EA185)
+    x *= np.uint64(0x7FB5D329728EA185)
     x ^= x >> np.uint64(27)
     x *= np.uint64(0x81DADEF4BC2DD44D)
     x ^= x >> np.uint64(33)
@@ -122,6 +122,18 @@ def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * _LANES[3, 63])
 
 
+def rolling_hash(sums: np.ndarray, k: int) -> np.ndarray:
+    """span_hash of every k consecutive values."""
+    n = len(sums) - k
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    _, down = _powers(len(sums))
+    out = sums[k:] - sums[:n]
+    out *= down[:n]
+    out += np.uint64(k * int(_LANES[3, 63]) % 2**64)
+    return mix(out)
+
+
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span_hash(prefix_sums(_BYTE[buf]), starts, ends)
 
@@ -178,8 +190,11 @@ class Winnowed:
         if len(units) >= 1 << 24:
             least = _argmin_wide(grams[:m], span - k + 1)
         else:
-            packed = (grams[:m] & ~_POS_MASK) | (_POS_MASK - np.arange(m, dtype=np.uint64))
-            least = (_POS_MASK - (sliding_min(packed, span - k + 1) & _POS_MASK)).astype(np.int64)
+            packed = grams[:m] & ~_POS_MASK
+            packed |= np.arange(int(_POS_MASK), int(_POS_MASK) - m, -1, dtype=np.uint64)
+            least = sliding_min(packed, span - k + 1)
+            least &= _POS_MASK
+            least = int(_POS_MASK) - least.view(np.int64)
         valid = np.zeros(n + 1, bool)
         begins, stops = offs[:-1], np.maximum(offs[1:] - span + 1, offs[:-1])
         edge = np.zeros(len(units) + 2, np.int32)

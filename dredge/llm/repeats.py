@@ -69,8 +69,7 @@ class Parsed:
         else:
             self.offs, self.values = offs, K.byte_values(buf)
             self.sums = K.prefix_sums(self.values)
-            i = np.arange(max(0, len(self.values) - unit.k + 1))
-            grams = K.span_hash(self.sums, i, i + unit.k)
+            grams = K.rolling_hash(self.sums, unit.k)
         w = self.win = K.Winnowed(self.values, self.offs, unit.k, unit.span, grams)
         place = (w.anchor - w.first).astype(np.uint64)
         self.run = K.mix(K.span_hash(self.sums, w.first, w.last + unit.span) + place) if len(w.first) else np.zeros(0, np.uint64)
@@ -204,9 +203,9 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-#: (bytes, offsets, group of each row, hot rows) -> (row, window in the row, two-part key) per window. Keys
-#: name a window within its group; those of hot rows must name it anywhere.
-Identify = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+#: (bytes, offsets, hot rows) -> (row, window in the row, two-part key) per window, in order. Keys name a
+#: window among the given rows; those of hot rows must name it anywhere.
+Identify = Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 def window_places(offs: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -220,17 +219,14 @@ def window_places(offs: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray,
 def hashed_windows(unit: Unit) -> Identify:
     """Windows named by 128 bits of hash."""
 
-    def identify(buf: np.ndarray, offs: np.ndarray, group: np.ndarray, hot: np.ndarray):
+    def identify(buf: np.ndarray, offs: np.ndarray, hot: np.ndarray):
         if unit.words:
             starts, ends, offs = K.word_spans(buf, offs, K.SPACES)
             values = K.word_hashes(buf, starts, ends)
         else:
             values = K.byte_values(buf)
         row, place, at = window_places(offs, unit.span)
-        keys = []
-        for one in (values, K.mix(values)):
-            sums = K.prefix_sums(one)
-            keys.append(K.span_hash(sums, at, at + unit.span))
+        keys = [K.rolling_hash(K.prefix_sums(one), unit.span)[at] for one in (values, K.mix(values))]
         return row, place, np.stack(keys, 1)
 
     return identify
@@ -242,30 +238,33 @@ def _refine(handed: DataFrame, unit: Unit, identify: Identify) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _slabs(batches):
-            h, salt, doc, pos, r32 = (int64(t[x].combine_chunks()) for x in ("h", "salt", "doc", "pos", "r32"))
+            doc, pos, r32 = (int64(t[x].combine_chunks()) for x in ("doc", "pos", "r32"))
             hot = t["hot"].to_numpy()
-            buf, offs = K.column_bytes(t["text"])
-            group = np.cumsum(np.append(0, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])))
-            row, place, key = identify(buf, offs, group, hot)
-            order = np.lexsort((pos[row] + place, doc[row], key[:, 1], key[:, 0], group[row]))
-            row, place, key = row[order], place[order], key[order]
-            new = np.append(True, (group[row][1:] != group[row][:-1]) | (key[1:] != key[:-1]).any(1)) if len(row) else np.zeros(0, bool)
-            head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(row) else row
-            late = doc[row] > doc[row[head]] if len(row) else new
-            if unit.within and len(row):
-                late = late | ((doc[row] == doc[row[head]]) & (pos[row] + place > pos[row[head]] + place[head]))
+            row, place, key = identify(*K.column_bytes(t["text"]), hot)
+            if not len(row):
+                continue
+            # Runs of a document don't share windows, so (doc, pos) of the run orders windows, then place.
+            rank = np.empty(len(doc), np.int64)
+            ahead = np.lexsort((pos, doc))
+            rank[ahead] = np.arange(len(doc))
+            when = (rank[row] << 24) + place
+            name = key[:, 0] ^ K.mix(key[:, 1])
+            order = np.argsort(name)
+            new = np.append(True, np.diff(name[order]) != 0)
+            earliest = np.minimum.reduceat(when[order], np.flatnonzero(new))[np.cumsum(new) - 1]
+            least = np.empty_like(earliest)
+            least[order] = earliest
+            late = when > least if unit.within else doc[row] > doc[ahead[least >> 24]]
             # Covered here, whatever other salts hold; other windows of hot anchors go on.
             r, w = row[late], place[late]
-            order = np.lexsort((w, r))
-            r, w = r[order], w[order]
             if len(r):
                 first = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (w[1:] != w[:-1] + 1)))
                 last = np.append(first[1:], len(r)) - 1
                 q, none = r[first], pa.nulls(len(first), pa.int64())
                 yield _batch(names, doc[q], pos[q].astype(np.int32), r32[q].astype(np.int32), w[first].astype(np.int32), w[last].astype(np.int32), none, none)
-            on = hot[row] & ~late if len(row) else late
-            for i in range(0, int(on.sum()), 50_000):
-                at = np.flatnonzero(on)[i : i + 50_000]
+            on = np.flatnonzero(hot[row] & ~late)
+            for i in range(0, len(on), 50_000):
+                at = on[i : i + 50_000]
                 q, w = row[at], place[at].astype(np.int32)
                 yield _batch(names, doc[q], pos[q].astype(np.int32), r32[q].astype(np.int32), w, w, signed(np.ascontiguousarray(key[at, 0])), signed(np.ascontiguousarray(key[at, 1])))
 
@@ -294,8 +293,24 @@ def covered_places(docs: DataFrame, unit: Unit, identify: Identify) -> DataFrame
     return written(both.where(F.size("places") > 0), "covered")
 
 
-def removal(p: Parsed, row_places: pa.Array) -> np.ndarray:
-    """Mask of the block's units that covered windows cover."""
+def removal(unit: Unit, buf: np.ndarray, offs: np.ndarray, unit_offs: np.ndarray, row_places: pa.Array) -> np.ndarray:
+    """Mask of the block's units (row offsets unit_offs) that covered windows cover.
+
+    Only rows with places are parsed.
+    """
+    gone = np.zeros(unit_offs[-1], bool)
+    rows = np.flatnonzero(row_places.is_valid().to_numpy(zero_copy_only=False))
+    if not len(rows):
+        return gone
+    part, ends = gather(buf, offs[rows], offs[rows + 1] - offs[rows])
+    p = unit.parse(part, ends)
+    mask = _removal(p, row_places.take(pa.array(rows)))
+    size = np.diff(p.offs)
+    gone[np.repeat(unit_offs[rows] - p.offs[:-1], size) + np.arange(len(mask))] = mask
+    return gone
+
+
+def _removal(p: Parsed, row_places: pa.Array) -> np.ndarray:
     at, (lo, hi) = _match(p, row_places, "lo", "hi")
     a = p.win.first[at] + lo if len(at) else at
     b = np.where(hi < 0, p.win.last[at], p.win.first[at] + hi) + p.unit.span if len(at) else at

@@ -45,17 +45,18 @@ def measure(docs: DataFrame, span: int = SPAN) -> DataFrame:
         for batch in batches:
             buf, offs = K.column_bytes(batch.column(1))
             for a, b in K.blocks(offs):
-                p = u.parse(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                gone = R.removal(p, batch.column(2).slice(a, b - a))
+                raw, rows = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+                starts, stops, words = K.word_spans(raw, rows, K.SPACES)
+                gone = R.removal(u, raw, rows, words, batch.column(2).slice(a, b - a))
                 kept = np.flatnonzero(~gone)
-                data, ends = gather(np.append(p.buf, np.uint8(32)), p.starts[kept], (p.ends - p.starts)[kept] + 1)
+                data, ends = gather(np.append(raw, np.uint8(32)), starts[kept], (stops - starts)[kept] + 1)
                 data[ends[1:] - 1] = 32
-                cut = ends[np.searchsorted(kept, p.offs)]
+                cut = ends[np.searchsorted(kept, words)]
                 raw = data.tobytes()
                 digests = [hashlib.sha256(raw[x : max(x, y - 1)]).hexdigest() for x, y in zip(cut[:-1], cut[1:], strict=True)]
-                removed = np.diff(np.append(0, np.cumsum(gone))[p.offs])
+                removed = np.diff(np.append(0, np.cumsum(gone))[words])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(np.diff(p.offs)), pa.array(removed), pa.array(digests, pa.string())],
+                    [batch.column(0).slice(a, b - a).cast(pa.int64()), pa.array(np.diff(words)), pa.array(removed), pa.array(digests, pa.string())],
                     ["doc_id", "n_words", "n_removed", "kept_sha256"],
                 )
 
@@ -75,16 +76,17 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
             col = batch.column(place)
             buf, offs = K.column_bytes(col)
             for a, b in K.blocks(offs):
-                p = u.parse(buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a])
-                gone = R.removal(p, batch.column(batch.num_columns - 1).slice(a, b - a))
+                raw, rows = buf[offs[a] : offs[b]], offs[a : b + 1] - offs[a]
+                starts, _, words = K.word_spans(raw, rows, K.SPACES)
+                gone = R.removal(u, raw, rows, words, batch.column(batch.num_columns - 1).slice(a, b - a))
                 old = col.slice(a, b - a)
                 if gone.any():
-                    keep = np.ones(len(p.buf), bool)
-                    row_end = (offs[a : b + 1] - offs[a])[np.searchsorted(p.offs, np.arange(len(gone)), "right")]
-                    after = np.minimum(np.append(p.starts[1:], len(p.buf)), row_end)
-                    keep[K.covered(len(p.buf), p.starts[gone], after[gone])] = False
-                    counts = np.append(0, np.cumsum(keep))[offs[a : b + 1] - offs[a]]
-                    new = strings(p.buf[keep], counts)
+                    keep = np.ones(len(raw), bool)
+                    row_end = rows[np.searchsorted(words, np.arange(len(gone)), "right")]
+                    after = np.minimum(np.append(starts[1:], len(raw)), row_end)
+                    keep[K.covered(len(raw), starts[gone], after[gone])] = False
+                    counts = np.append(0, np.cumsum(keep))[rows]
+                    new = strings(raw[keep], counts)
                     texts = pa.array([None if o is None else n for o, n in zip(old.to_pylist(), new.to_pylist(), strict=True)], pa.string())
                 else:
                     texts = old

@@ -30,57 +30,46 @@ from dredge.llm import repeats as R
 SPAN, GRAM, Q = 100, 40, 25
 
 
-def _pointers(key: np.ndarray) -> np.ndarray:
-    """Bucket pointer of each suffix: the place of its bucket's first suffix in sorted order."""
-    order = np.argsort(key, kind="stable")
+def _buckets(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted order of the keys, and the place of its bucket's first suffix for each place in it."""
+    order = np.argsort(key)
     ranked = key[order]
     new = np.append(True, ranked[1:] != ranked[:-1])
+    return order, np.flatnonzero(new)[np.cumsum(new) - 1]
+
+
+def _pointers(key: np.ndarray) -> np.ndarray:
+    """Bucket pointer of each suffix."""
+    order, first = _buckets(key)
     out = np.empty(len(key), np.int64)
-    out[order] = np.flatnonzero(new)[np.cumsum(new) - 1]
+    out[order] = first
     return out
 
 
-def refine(buf: np.ndarray, starts: np.ndarray, group: np.ndarray, span: int, q: int = Q) -> np.ndarray:
-    """Bucket pointers by group and by the first `span` bytes, of suffixes with that many bytes.
+def refine(buf: np.ndarray, starts: np.ndarray, span: int, q: int = Q) -> np.ndarray:
+    """Bucket pointers by the first `span` bytes of the suffixes at `starts`, which have that many.
 
-    Suffixes of one group (bucket of an anchor) with equal strings get equal pointers.
+    Initial buckets are those of the first q bytes. In each round a bucket with company is sorted on
+    the pointers its suffixes have `deep` bytes later, which doubles the depth; the refined pointers
+    replace the old ones and serve the next round.
     """
-    n = len(buf)
-    q = min(q, span)
+    n, q = len(buf) - min(q, span) + 1, min(q, span)
     if not len(starts):
         return np.zeros(0, np.int64)
-    sums = K.prefix_sums(K.byte_values(buf))
-    every = np.arange(n - q + 1)
-    # Initial q-gram buckets; a gram is named by its fingerprint, then by its bucket's pointer.
-    deep, pointer = q, _pointers(K.span_hash(sums, every, every + q))
-    while deep < span:
-        step = min(deep, span - deep)
-        if deep + step < span:
-            # Only suffixes that still have `deep + step` bytes and company are refined.
-            size = np.bincount(pointer, minlength=n)[pointer]
-            at = np.flatnonzero((size > 1) & (np.arange(len(pointer)) + step < len(pointer)))
-            after = pointer.copy()
-            later = _pointers(pointer[at] * n + pointer[at + step])
-            after[at] = pointer[at] + _within(pointer[at], later)
-            pointer = after
-        else:
-            key = pointer[starts] * n + pointer[starts + step]
-            return _pointers(_pointers(key) * (int(group[-1]) + 1) + group)
-        deep += step
-    return _pointers(pointer[starts] * (int(group[-1]) + 1) + group)
-
-
-def _within(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
-    """Place of each refined bucket within its old bucket, so that pointers stay ordered and distinct."""
-    order = np.lexsort((later, bucket))
-    b, x = bucket[order], later[order]
-    head = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
-    base = np.repeat(head, np.diff(np.append(head, len(b))))
-    new = np.append(True, (b[1:] != b[:-1]) | (x[1:] != x[:-1]))
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]
-    out = np.empty(len(b), np.int64)
-    out[order] = first - base
-    return out
+    pointer, deep = _pointers(K.rolling_hash(K.prefix_sums(K.byte_values(buf)), q)), q
+    while deep * 2 < span:
+        size = np.bincount(pointer, minlength=n)
+        at = np.flatnonzero(size[pointer[: n - deep]] > 1)
+        order, first = _buckets(pointer[at] * n + pointer[at + deep])
+        old = pointer[at][order]
+        head = np.flatnonzero(np.append(True, old[1:] != old[:-1]))
+        base = np.repeat(head, np.diff(np.append(head, len(old))))
+        after = pointer.copy()
+        after[at[order]] = old + first - base
+        pointer, deep = after, deep * 2
+    if deep == span:
+        return pointer[starts]
+    return _pointers(pointer[starts] * n + pointer[starts + span - deep])
 
 
 def unit(span: int = SPAN) -> R.Unit:
@@ -90,14 +79,14 @@ def unit(span: int = SPAN) -> R.Unit:
 def _identify(u: R.Unit) -> R.Identify:
     hashed = R.hashed_windows(u)
 
-    def identify(buf: np.ndarray, offs: np.ndarray, group: np.ndarray, hot: np.ndarray):
+    def identify(buf: np.ndarray, offs: np.ndarray, hot: np.ndarray):
         row, place, at = R.window_places(offs, u.span)
         key = np.zeros((len(row), 2), np.uint64)
         cold = ~hot[row]
         if cold.any():
-            key[cold, 0] = refine(buf, at[cold], group[row[cold]], u.span).astype(np.uint64)
+            key[cold, 0] = refine(buf, at[cold], u.span).astype(np.uint64)
         if hot.any():
-            key[~cold] = hashed(buf, offs, group, hot)[2][~cold]
+            key[~cold] = hashed(buf, offs, hot)[2][~cold]
         return row, place, key
 
     return identify
@@ -120,10 +109,7 @@ def measure(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 ends = offs[a : b + 1] - offs[a]
                 places = batch.column(2).slice(a, b - a)
                 raw = buf[offs[a] : offs[b]]
-                if places.null_count == len(places):
-                    gone = np.zeros(len(raw), bool)
-                else:
-                    gone = R.removal(u.parse(raw, ends), places)
+                gone = R.removal(u, raw, ends, ends, places)
                 first = gone.copy()
                 if len(gone):
                     first[1:] &= ~gone[:-1]
@@ -151,7 +137,7 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
             buf, offs = K.column_bytes(col)
             for a, b in K.blocks(offs):
                 ends = offs[a : b + 1] - offs[a]
-                gone = R.removal(u.parse(buf[offs[a] : offs[b]], ends), batch.column(batch.num_columns - 1).slice(a, b - a))
+                gone = R.removal(u, buf[offs[a] : offs[b]], ends, ends, batch.column(batch.num_columns - 1).slice(a, b - a))
                 raw, old = buf[offs[a] : offs[b]].tobytes(), col.slice(a, b - a).to_pylist()
                 texts = []
                 for i, text in enumerate(old):
