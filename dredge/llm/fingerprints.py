@@ -81,7 +81,8 @@ def simhash(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     words = F.split(F.col(text), " ")
     hashed = rows.where(F.length(text) > 0).select(*keys, words.alias("words"))
     hashed = hashed.select(*keys, F.transform("words", lambda w, i: F.xxhash64(w, F.get("words", i + 1))).alias("terms"))
-    term = hashed.select(*keys, F.explode("terms").alias("x")).withColumn("y", F.xxhash64("x"))
+    # Outer, as the plain form makes Spark filter on the size of the terms first, hashing them again and again.
+    term = hashed.select(*keys, F.explode_outer("terms").alias("x")).withColumn("y", F.xxhash64("x"))
     lanes = [F.sum(F.shiftright(c, j).bitwiseAND(F.lit(_LANES))).alias(f"{c}{j}") for c in ("x", "y") for j in range(32)]
     counted = term.groupBy(*keys).agg(F.count("*").alias("n"), *lanes)
 
