@@ -133,11 +133,12 @@ def fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def _cut(hi: Column, lo: Column, a: int, b: int) -> Column:
-    """Bits a to b of the 128 as a long of at most 63 bits; bit 0 is the lowest of lo."""
+    """Bits a to b of the 128 as a long; bit 0 is the lowest of lo."""
+    mask = F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long")
     if b <= 64:
-        return F.shiftrightunsigned(lo, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        return F.shiftrightunsigned(lo, a).bitwiseAND(mask)
     if a >= 64:
-        return F.shiftrightunsigned(hi, a - 64).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        return F.shiftrightunsigned(hi, a - 64).bitwiseAND(mask)
     low = F.shiftrightunsigned(lo, a)
     return F.shiftleft(hi.bitwiseAND(F.lit((1 << (b - 64)) - 1)), 64 - a).bitwiseOR(low)
 

@@ -244,9 +244,12 @@ def _refine(handed: DataFrame, unit: Unit, identify: Identify) -> DataFrame:
             if not len(row):
                 continue
             # Runs of a document don't share windows, so (doc, pos) of the run orders windows, then place.
+            # Rows that repeat a document and its text are at the same place.
             rank = np.empty(len(doc), np.int64)
             ahead = np.lexsort((pos, doc))
-            rank[ahead] = np.arange(len(doc))
+            fresh = np.append(True, (np.diff(doc[ahead]) != 0) | (np.diff(pos[ahead]) != 0))
+            rank[ahead] = np.cumsum(fresh) - 1
+            ahead = ahead[fresh]
             when = (rank[row] << 24) + place
             name = key[:, 0] ^ K.mix(key[:, 1])
             order = np.argsort(name)
