@@ -4,18 +4,20 @@ A document's set is its distinct shingles of `k` neighbouring words (the whole s
 fewer), ASCII letters in lower case. Two documents are linked if 100 * intersection >= percent * union.
 
 1.  One pass gives each document its set's size and digest, BANDS bands of ROWS minima, and the odd
-    sketch: the parity bitmap of all its minima. Documents with equal sets are one class from here
-    on, stood for by the smallest doc_id; copies of any number are one row.
-2.  Every band bucket compares its members with its smallest document: a native minimum and a join, so
-    a bucket of any size makes as many candidates as it has members. The XOR population count of two
-    odd sketches estimates the similarity; pairs over FLOOR are confirmed on the full sets.
+    sketch: the parity bitmap of BINS further MinHash samples, one per bin of the hash range.
+    Documents with equal sets are one class from here on, stood for by the smallest doc_id; copies of
+    any number are one row.
+2.  A band bucket is represented by its smallest document, and every document is compared with one
+    representative of its buckets, so a bucket of any size makes at most one candidate per member.
+    The XOR population count of two odd sketches estimates how far the samples differ; pairs that
+    may be linked are confirmed on the full sets.
 3.  Confirmed links are joined to components. Buckets whose members are all in one component need
-    nothing more. The others are compared again, with another member of the bucket each of ROUNDS
-    times; then every pair of the bucket's members in different components is, where the sketches,
-    carried in the join, allow it. So every pair that shares a band is compared or already connected.
+    nothing more. Members of the others are compared with another representative each of ROUNDS times;
+    then every pair of such a bucket's members in different components is, where the sketches, carried
+    in the join, allow it. So every pair that shares a band is compared or already connected.
 
-A pair of similarity 0.8 shares no band once in 10**7, and its sketch estimate falls below FLOOR
-about as seldom.
+A pair of similarity 0.8 shares no band once in 10**7; its sketches are allowed SIGMAS standard
+deviations from what they are expected to show at the threshold.
 
 Null text and text without words have empty sets: linked with nothing. Rows that repeat a doc_id are
 one node with the links of all its texts. Rows without doc_id have no component and are kept. Extra
@@ -35,8 +37,8 @@ from pyspark.sql import functions as F
 from dredge.llm import kernel as K
 from dredge.llm.common import arrow_map, int64, signed, written
 
-BANDS, ROWS, SKETCH_BITS = 32, 4, 256
-FLOOR, ROUNDS = 0.55, 2
+BANDS, ROWS, BINS, SKETCH_BITS = 32, 4, 1024, 1024
+SIGMAS, ROUNDS = 4.0, 1
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MULTIPLIERS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -61,7 +63,7 @@ def shingles(buf: np.ndarray, offs: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return row[keep], full[keep]
 
 
-_SIGNED = "doc long, n long, d1 long, d2 long, " + ", ".join(f"{w} long" for w in _WORDS) + ", bands array<long>"
+_SIGNED = "doc long, n long, d1 long, d2 long, o long, " + ", ".join(f"{w} long" for w in _WORDS) + ", bands array<long>"
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -76,7 +78,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             n = np.bincount(row, minlength=b - a)
             have = np.flatnonzero(n)
             head = np.flatnonzero(np.append(True, row[1:] != row[:-1])) if len(row) else np.zeros(0, np.int64)
-            out = np.zeros((2 + len(_WORDS), b - a), np.uint64)
+            out = np.zeros((3 + len(_WORDS), b - a), np.uint64)
             bands = pa.nulls(b - a, pa.list_(pa.int64()))
             if len(have):
                 out[0, have] = np.add.reduceat(K.mix(full), head)
@@ -85,9 +87,16 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 for i, m in enumerate(_MULTIPLIERS):
                     least[i] = np.minimum.reduceat(full * m, head)
                 least = K.mix(least ^ _SALTS[:, None])
-                bit = (least % np.uint64(SKETCH_BITS)).astype(np.int64) + np.arange(len(have)) * SKETCH_BITS
-                odd = (np.bincount(bit.ravel(), minlength=len(have) * SKETCH_BITS) & 1).astype(np.uint8)
-                out[2:, have] = np.packbits(odd.reshape(len(have), -1), axis=1).view(np.uint64).T
+                # One sample per bin: the least hash that falls into it. Rows are worked off a few at a time.
+                drawn = K.mix(full ^ _SALTS[1])
+                place = np.repeat(np.arange(len(have)), np.diff(np.append(head, len(row)))) * BINS + (drawn >> np.uint64(54)).astype(np.int64)
+                samples = np.full(len(have) * BINS, ~np.uint64(0))
+                np.minimum.at(samples, place, drawn)
+                used = np.flatnonzero(samples != ~np.uint64(0))
+                out[2, have] = np.bincount(used // BINS, minlength=len(have)).astype(np.uint64)
+                bit = (K.mix(samples[used] ^ _SALTS[2]) % np.uint64(SKETCH_BITS)).astype(np.int64) + used // BINS * SKETCH_BITS
+                odd = (np.bincount(bit, minlength=len(have) * SKETCH_BITS) & 1).astype(np.uint8)
+                out[3:, have] = np.packbits(odd.reshape(len(have), -1), axis=1).view(np.uint64).T
                 band = least.reshape(BANDS, ROWS, len(have))
                 hashed = K.mix(reduce(lambda x, r: K.mix(x) + band[:, r], range(1, ROWS), band[:, 0]) + np.arange(BANDS, dtype=np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15))
                 places = np.full(b - a + 1, 0, np.int32)
@@ -100,23 +109,41 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
     return arrow_map(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), step, _SIGNED)
 
 
-def estimate(apart: Column) -> Column:
-    """Similarity by the odd sketch: the size of the difference of the minima follows from the parity bits apart."""
-    bits, samples = float(SKETCH_BITS), BANDS * ROWS
-    left = 1 - 2 * apart / F.lit(bits)
-    return F.when(left > 0, 1 + F.log(left) * (bits / 4 / samples)).otherwise(0.0)
-
-
 def _apart(a: str, b: str) -> Column:
     return reduce(lambda x, y: x + y, (F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in _WORDS))
 
 
-def _estimated(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def may_link(a: str, b: str, percent: int) -> Column:
+    """Whether sketches allow a similarity of `percent`. Columns: {side}n set size, {side}o samples, {side}s0...
+
+    The parity bits apart give the size of the samples' difference. At the threshold j the sets'
+    union of (na + nb) / (1 + j) shingles fills a known share of the bins, of which j agree, so the
+    expected difference is known too; what is seen may exceed it by SIGMAS standard deviations of
+    sampling and of the parity bits together.
+    """
+    bits, bins, j = float(SKETCH_BITS), float(BINS), percent / 100
+    left = F.greatest(1 - 2 * _apart(a, b) / F.lit(bits), F.lit(1 / bits))
+    seen = -F.log(left) * (bits / 2)
+    na, nb, oa, ob = (F.col(f"{s}{x}").cast("double") for x in "no" for s in (a, b))
+    filled = bins * (1 - F.exp(-(na + nb) / F.lit((1 + j) * bins)))
+    expected = F.greatest(oa + ob - 2 * j * filled, F.lit(0.0))
+    # Variance of the parity bits for a difference of that size, carried back through the logarithm; and of
+    # the samples, which shrinks as the bins come to hold the whole sets.
+    x = 4 * expected / F.lit(bits)
+    parity = F.lit(bits / 4) * (1 - F.exp(-x) * (1 + x)) * F.exp(x)
+    sampling = 4 * j * (1 - j) * filled * (1 - filled * (1 + j) / (na + nb))
+    sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    return sizes & (seen <= expected + SIGMAS * F.sqrt(parity + sampling + 4))
+
+
+def _sketch(sigs: DataFrame, side: str, *more: str) -> DataFrame:
+    return sigs.select(F.col("doc").alias(side), *(F.col(w).alias(f"{side}{w}") for w in ("n", "o", *_WORDS, *more)))
+
+
+def _estimated(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sketches allow a link."""
-    for side in ("a", "b"):
-        named = sigs.select(F.col("doc").alias(side), *(F.col(w).alias(f"{side}{w}") for w in _WORDS))
-        pairs = pairs.join(named, side)
-    return pairs.where(estimate(_apart("a", "b")) >= FLOOR).select("a", "b")
+    both = pairs.join(_sketch(sigs, "a"), "a").join(_sketch(sigs, "b"), "b")
+    return both.where(may_link("a", "b", percent)).select("a", "b")
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -155,8 +182,7 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         around = both.join(labels.select(F.col("doc").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("m"))
         nearer = labels.join(around.withColumnRenamed("a", "doc"), "doc").select("doc", F.least("comp", "m").alias("next"), F.col("comp").alias("old"))
-        nearer = written(nearer, "nearer")
-        jump = nearer.select(F.col("doc").alias("next"), F.col("next").alias("far"))
+        jump = labels.select(F.col("doc").alias("next"), F.col("comp").alias("far"))
         moved = written(nearer.join(jump, "next", "left").select("doc", F.least("next", F.coalesce("far", "next")).alias("comp"), "old"), "labels")
         labels = moved.select("doc", "comp")
         if moved.where("comp <> old").isEmpty():
@@ -166,7 +192,7 @@ def components(links: DataFrame) -> DataFrame:
 def _links(sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc, comp) of the linked class representatives. sigs: one row per class."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    bands = sigs.select("doc", F.explode("bands").alias("h"))
+    bands = sigs.select("doc", F.posexplode("bands").alias("band", "h"))
     confirmed: list[DataFrame] = []
     tried: list[DataFrame] = []
 
@@ -174,7 +200,7 @@ def _links(sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
         """Confirm new candidate pairs; returns how many links they gave."""
         for known in tried:
             pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = written(_estimated(pairs, sigs), f"candidates-{name}")
+        pairs = written(_estimated(pairs, sigs, percent), f"candidates-{name}")
         found = written(_confirmed(pairs, texts, k, percent).distinct(), f"confirmed-{name}")
         tried.append(pairs)
         confirmed.append(found)
@@ -184,41 +210,44 @@ def _links(sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
         return components(reduce(DataFrame.union, confirmed))
 
     heads = written(bands.groupBy("h").agg(F.min("doc").alias("b"), F.count("*").alias("n")).where("n > 1").select("h", "b"), "buckets")
-    check(written(bands.join(heads, "h").where("doc > b").select(F.col("doc").alias("a"), "b").distinct(), "starred"), "0")
+    starred = bands.drop("band").join(heads, "h").where("doc > b").groupBy(F.col("doc").alias("a")).agg(F.min("b").alias("b"))
+    check(starred, "0")
     labels = joined()
     for number in range(1, ROUNDS + 2):
         full = bands.join(heads.select("h"), "h", "left_semi").join(labels, "doc", "left")
-        members = written(full.select("h", "doc", F.coalesce("comp", "doc").alias("comp")), "members")
+        members = written(full.select("h", "band", "doc", F.coalesce("comp", "doc").alias("comp")), "members")
         pick = F.min_by("doc", F.xxhash64("doc", F.lit(number)))
-        mixed = members.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), pick.alias("p"), F.min_by("comp", F.xxhash64("doc", F.lit(number))).alias("pc"))
-        mixed = written(mixed.where("x < y and n > 2").select("h", "p", "pc"), "mixed")
+        mixed = members.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), pick.alias("p"), F.min_by("comp", F.xxhash64("doc", F.lit(number))).alias("pc"))
+        mixed = written(mixed.where("x < y").select("h", "p", "pc"), "mixed")
         if mixed.isEmpty():
             break
         open_ = members.join(mixed, "h")
         if number <= ROUNDS:
-            pairs = open_.where("comp <> pc").select(F.greatest("doc", "p").alias("a"), F.least("doc", "p").alias("b")).distinct()
+            # One representative per document, drawn from its mixed buckets.
+            one = open_.where("comp <> pc").groupBy("doc").agg(F.min_by("p", F.xxhash64("h", F.lit(number))).alias("p"))
+            pairs = one.select(F.greatest("doc", "p").alias("a"), F.least("doc", "p").alias("b")).distinct()
         else:
-            pairs = _across(members.join(mixed.select("h"), "h", "left_semi"), sigs)
-        if check(written(pairs, f"pairs{number}"), str(number)):
+            pairs = _across(open_, sigs, percent)
+        if check(pairs, str(number)):
             labels = joined()
         heads = mixed.select("h")
     return labels
 
 
-def _across(members: DataFrame, sigs: DataFrame) -> DataFrame:
+def _across(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     """All pairs of a bucket's members in different components that the sketches allow.
 
-    The largest component of a bucket is only compared with the others, and the sketches are in the
-    join's condition, so no pair is made that they rule out.
+    members: (h, band, doc, comp, pc). The component pc of a member drawn at random, as a rule the
+    largest, is only compared with the others, and the sketches are in the join's condition, so no pair
+    is made that they rule out. A pair is made in the first band that it shares alone (told by 32 bits of
+    the band hashes).
     """
-    sizes = written(members.groupBy("h", "comp").agg(F.count("*").alias("size")), "sizes")
-    most = written(sizes.groupBy("h").agg(F.max_by("comp", F.struct("size", "comp")).alias("top")), "most")
-    sketched = members.join(sigs.select("doc", *_WORDS), "doc")
-    few = sketched.join(most, "h").where("comp <> top").select("h", F.col("doc").alias("a"), F.col("comp").alias("ac"), *(F.col(w).alias(f"a{w}") for w in _WORDS))
-    every = sketched.join(most, "h").select("h", F.col("doc").alias("b"), F.col("comp").alias("bc"), "top", *(F.col(w).alias(f"b{w}") for w in _WORDS))
+    few = members.where("comp <> pc").select("h", "band", F.col("doc").alias("a"), F.col("comp").alias("ac")).join(_sketch(sigs, "a", "short"), "a")
+    every = members.select("h", F.col("doc").alias("b"), F.col("comp").alias("bc"), "pc").join(_sketch(sigs, "b", "short"), "b")
     few, every = written(few, "few"), written(every, "every")
-    right = (F.col("bc") == F.col("top")) | (F.col("a") > F.col("b"))
-    found = few.join(every, (few["h"] == every["h"]) & (F.col("ac") != F.col("bc")) & right & (estimate(_apart("a", "b")) >= FLOOR))
+    right = (F.col("bc") == F.col("pc")) | (F.col("a") > F.col("b"))
+    first = F.array_position(F.zip_with("ashort", "bshort", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
+    found = few.join(every, (few["h"] == every["h"]) & (F.col("ac") != F.col("bc")) & right & may_link("a", "b", percent) & first)
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -230,7 +259,8 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # A row's class; a doc_id with several texts is in several classes.
     member = written(sets.select("doc", "d1", "d2", "n").join(classes, ["d1", "d2", "n"]).select("doc", "rep").distinct(), "member")
     first = sets.join(classes.withColumnRenamed("rep", "doc"), ["d1", "d2", "n", "doc"], "left_semi").dropDuplicates(["doc", "d1", "d2", "n"])
-    labels = _all_labels(written(first.drop("d1", "d2", "n"), "representatives"), member, docs, k, percent)
+    short = F.transform("bands", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
+    labels = _all_labels(written(first.drop("d1", "d2").withColumn("short", short), "representatives"), member, docs, k, percent)
     return sigs.join(labels, "doc", "left").select(
         F.col("doc").alias("doc_id"),
         F.col("n").alias("n_shingles"),
