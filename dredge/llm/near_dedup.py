@@ -196,11 +196,11 @@ def _links(sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     confirmed: list[DataFrame] = []
     tried: list[DataFrame] = []
 
-    def check(pairs: DataFrame, name: str) -> int:
+    def check(pairs: DataFrame, name: str, estimated: bool = False) -> int:
         """Confirm new candidate pairs; returns how many links they gave."""
-        for known in tried:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        pairs = written(_estimated(pairs, sigs, percent), f"candidates-{name}")
+        if tried:
+            pairs = pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
+        pairs = written(pairs if estimated else _estimated(pairs, sigs, percent), f"candidates-{name}")
         found = written(_confirmed(pairs, texts, k, percent).distinct(), f"confirmed-{name}")
         tried.append(pairs)
         confirmed.append(found)
@@ -228,7 +228,7 @@ def _links(sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
             pairs = one.select(F.greatest("doc", "p").alias("a"), F.least("doc", "p").alias("b")).distinct()
         else:
             pairs = _across(open_, sigs, percent)
-        if check(pairs, str(number)):
+        if check(pairs, str(number), number > ROUNDS):
             labels = joined()
         heads = mixed.select("h")
     return labels
