@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -35,6 +37,15 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Bytes of an Arrow batch that a task holds on both sides.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by BATCH_BYTES, for the memory of executors and their workers."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends at a table that outlives executors.
 
@@ -42,6 +53,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     the job that has just ended; they are no longer needed.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_path(spark, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
@@ -52,6 +64,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -91,6 +104,13 @@ def strings(data: np.ndarray, offs: np.ndarray) -> pa.Array:
     )
 
 
+def settle() -> None:
+    """Give memory that a finished task has freed back to the system: workers are reused and live long."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch."""
 
@@ -98,5 +118,6 @@ def arrow_map(df: DataFrame, step: Callable[[pa.RecordBatch], Iterator[pa.Record
         for batch in batches:
             if batch.num_rows:
                 yield from step(batch)
+        settle()
 
     return df.mapInArrow(run, schema)

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dredge.llm.common import settle
+
 SPAN = 13
 BLOCK_PATTERNS = 2_000_000
 
@@ -182,6 +184,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, s
                 n = 0 if mask is None else int(mask.sum())
                 keep.append(not (n and share * n >= len(w)))
             yield batch.filter(pa.array(keep, pa.bool_()))
+        settle()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dredge.llm.common import written
+from dredge.llm.common import settle, written
 
 CAPACITY = 2048
 #: Entries of a task's cache of encoded words, pieces of a partition, and pieces that one hands on at most.
-CACHE, PART_PIECES, HAND_ON = 400_000, 50_000, 4_000
+CACHE, PART_PIECES, HAND_ON = 150_000, 50_000, 4_000
 
 
 #: Fixed value: how the byte-level pre-tokenizer splits text.
@@ -53,10 +53,6 @@ def _encode(path: str):
     A plain byte-level BPE whose ids ascend in the order of its merges gives the same ids in tiktoken,
     which takes a third of the time for a rare word; any other file is run by tokenizers.
     """
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
@@ -73,6 +69,10 @@ def _encode(path: str):
             special = {x["content"] for x in spec.get("added_tokens", [])}
             ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
             return tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids
 
 
@@ -121,12 +121,6 @@ class Encoder:
         return array("I", self.encode(text)).tobytes()
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    """The encoder of this worker, which keeps what it has met from task to task."""
-    return Encoder(path)
-
-
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n tokens."""
     if n <= capacity:
@@ -143,7 +137,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
+        encode = Encoder(path)
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -154,6 +148,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in _PIECES.split(", ")])
+        del encode
+        settle()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECES)
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dredge.llm import kernel as K
-from dredge.llm.common import arrow_map, binary, gather, int64, partitions, signed, written
+from dredge.llm.common import arrow_map, binary, gather, int64, partitions, settle, signed, written
 
 #: Distinct runs of one anchor that one task compares; beyond, windows are keyed one by one.
 HOT = 1500
@@ -270,6 +270,7 @@ def _refine(handed: DataFrame, unit: Unit, identify: Identify) -> DataFrame:
                 at = on[i : i + 50_000]
                 q, w = row[at], place[at].astype(np.int32)
                 yield _batch(names, doc[q], pos[q].astype(np.int32), r32[q].astype(np.int32), w, w, signed(np.ascontiguousarray(key[at, 0])), signed(np.ascontiguousarray(key[at, 1])))
+        settle()
 
     n = partitions(handed.sparkSession)
     return handed.repartition(n, "h", "salt").sortWithinPartitions("h", "salt").mapInArrow(run, _REFINED)

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from dredge.llm import kernel as K
 from dredge.llm import repeats as R
-from dredge.llm.common import gather, int64, strings
+from dredge.llm.common import gather, settle, strings
 
 SPAN, GRAM = 13, 5
 
@@ -93,6 +93,7 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 cols = [batch.column(i).slice(a, b - a) for i in range(batch.num_columns - 1)]
                 cols[place] = texts.cast(col.type)
                 yield pa.RecordBatch.from_arrays(cols, batch.schema.names[:-1])
+        settle()
 
     out = R.with_places(docs, repeated(docs, span)).mapInArrow(run, schema)
     if "n_chars" in docs.columns:

@@ -26,11 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dredge.llm import kernel as K
+from dredge.llm.common import settle
 from dredge.llm.labelled import bounded_sample, held_out
 
 TRAIN_ROWS, TRAIN_BYTES = 6_000, 32 << 20
 #: Texts of the sample that are parsed at a time.
-CHUNK = 256
+CHUNK = 64
 BUCKETS, FEATURES, GRAMS = 1 << 20, 4_096, (5, 6)
 THRESHOLD = 0.3
 
@@ -170,6 +171,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(_apply(shared.value, batch.column(place)) < threshold))
+        settle()
 
     return docs.mapInArrow(run, docs.schema)
 
