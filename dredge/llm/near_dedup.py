@@ -38,7 +38,7 @@ from dredge.llm import kernel as K
 from dredge.llm.common import arrow_map, int64, signed, written
 
 BANDS, ROWS, BINS, SKETCH_BITS = 32, 4, 1024, 1024
-SIGMAS, ROUNDS = 4.0, 1
+SIGMAS, ROUNDS = 6.0, 1
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MULTIPLIERS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -116,24 +116,26 @@ def _apart(a: str, b: str) -> Column:
 def may_link(a: str, b: str, percent: int) -> Column:
     """Whether sketches allow a similarity of `percent`. Columns: {side}n set size, {side}o samples, {side}s0...
 
-    The parity bits apart give the size of the samples' difference. At the threshold j the sets'
-    union of (na + nb) / (1 + j) shingles fills a known share of the bins, of which j agree, so the
-    expected difference is known too; what is seen may exceed it by SIGMAS standard deviations of
-    sampling and of the parity bits together.
+    The parity bits apart tell the size of the samples' difference. At the threshold j the sets'
+    union of (na + nb) / (1 + j) shingles fills a number of bins whose mean and variance are known, of
+    which a share j agrees, so the expected difference is known too; the bits apart may exceed what it
+    gives by SIGMAS standard deviations of sampling, of the filled bins and of the parity bits together.
     """
     bits, bins, j = float(SKETCH_BITS), float(BINS), percent / 100
-    left = F.greatest(1 - 2 * _apart(a, b) / F.lit(bits), F.lit(1 / bits))
-    seen = -F.log(left) * (bits / 2)
     na, nb, oa, ob = (F.col(f"{s}{x}").cast("double") for x in "no" for s in (a, b))
-    filled = bins * (1 - F.exp(-(na + nb) / F.lit((1 + j) * bins)))
+    load = (na + nb) / F.lit((1 + j) * bins)
+    filled = bins * (1 - F.exp(-load))
     expected = F.greatest(oa + ob - 2 * j * filled, F.lit(0.0))
-    # Variance of the parity bits for a difference of that size, carried back through the logarithm; and of
-    # the samples, which shrinks as the bins come to hold the whole sets.
+    # Variance of the parity bits for a difference of that size; of the samples, which shrinks as the bins
+    # come to hold the whole sets; and of the number of filled bins.
     x = 4 * expected / F.lit(bits)
-    parity = F.lit(bits / 4) * (1 - F.exp(-x) * (1 + x)) * F.exp(x)
-    sampling = 4 * j * (1 - j) * filled * (1 - filled * (1 + j) / (na + nb))
+    parity = F.lit(bits / 4) * (1 - F.exp(-x) * (1 + x))
+    sampling = 4 * j * (1 - j) * filled * (1 - filled / (load * bins))
+    occupancy = 4 * j * j * bins * (F.exp(-load) - (1 + load) * F.exp(-2 * load))
+    # In bits, not carried back through the logarithm: that would skew the upper tail.
+    deviation = F.sqrt(parity + (sampling + occupancy + 4) * F.exp(-x))
     sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
-    return sizes & (seen <= expected + SIGMAS * F.sqrt(parity + sampling + 4))
+    return sizes & (_apart(a, b) <= F.lit(bits / 2) * (1 - F.exp(-x / 2)) + SIGMAS * deviation)
 
 
 def _sketch(sigs: DataFrame, side: str, *more: str) -> DataFrame:

@@ -52,6 +52,19 @@ def test_bridges(spark):
     assert got == {d: c for d, _, c, _ in near_dedup.brute(rows)}
 
 
+def test_at_the_threshold(spark):
+    """Pairs of sets at exactly 0.80, of sizes at which the number of filled bins varies most."""
+    rng = random.Random(11)
+    rows = []
+    for union in (100, 200, 300, 500):
+        for _ in range(100):
+            w = [f"{rng.getrandbits(60):x}" for _ in range(union)]
+            for own in (w[: union // 10], w[union // 10 : union // 5]):
+                rows.append((len(rows), " ".join(w[union // 5 :] + own)))
+    got = near_dedup.measure(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), k=1).collect()
+    assert sorted(tuple(r) for r in got) == sorted(near_dedup.brute(rows, k=1))
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.measure(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
