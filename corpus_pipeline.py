@@ -33,8 +33,8 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a notable share of benchmark passages."""
-    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+    """Documents in which benchmark passages are under 5% of the words, without these passages."""
+    return decontamination.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

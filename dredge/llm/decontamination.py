@@ -9,24 +9,25 @@ grow with the corpus; should a benchmark exceed `BLOCK_PATTERNS`, it is worked o
 many patterns, each with an automaton of its own, so that no task holds more than one block.
 
 Null text has no words and no hits. Empty tables give empty results. Items without words are never
-found. Extra columns are ignored by `measure` and kept by `drop_contaminated`.
+found. Extra columns are ignored by `measure` and kept by `drop_contaminated` and `clean`.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Iterable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dredge.llm.common import settle
+from dredge.llm.common import settle, written
 
 SPAN = 13
 BLOCK_PATTERNS = 2_000_000
+_KEY = "__row"
 
 #: Bytes that are part of a word keep their value (ASCII letters in lower case), others become a space.
 _FOLD = bytes(
@@ -94,9 +95,13 @@ def _blocks(benchmark: DataFrame, span: int) -> Iterator[tuple]:
 
 def scan(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_words, hit (places of hit words), items (ids found), for each document."""
+    return _scanned(docs, _blocks(benchmark, span))
+
+
+def _scanned(docs: DataFrame, blocks: Iterable[tuple]) -> DataFrame:
     ids = pa.int64()
     parts = []
-    for block in _blocks(benchmark, span):
+    for block in blocks:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
@@ -162,6 +167,15 @@ def spans(text: str, hit: list[int]) -> list[tuple[int, int]]:
     return out
 
 
+def without(text: str, hit: list[int]) -> str:
+    """The text without the characters that the hit words cover."""
+    at, out = 0, []
+    for a, b in spans(text, hit):
+        out.append(text[at:a])
+        at = b
+    return "".join([*out, text[at:]])
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: int = 20) -> DataFrame:
     """Documents, with all their columns, that are not contaminated: one narrow pass, no shuffle.
 
@@ -171,19 +185,88 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, s
     if len(all_blocks) > 1:
         bad = measure(docs, benchmark, span, share).where("contaminated").select("doc_id").distinct()
         return docs.join(bad, "doc_id", "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast(all_blocks[0])
+    return _one_pass(docs, all_blocks[0], share, False)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: int = 20) -> DataFrame:
+    """Documents, with all their columns, that are not contaminated, without the words hit in them.
+
+    Words that come together where a passage was cut out may be a passage themselves, so a text is
+    scanned until it has no hit; what is contaminated is told by the text as it came. n_chars, if there
+    is one, is counted anew where text has changed. One narrow pass; with a benchmark of more than one
+    block, a written table per scan.
+    """
+    blocks = list(_blocks(benchmark, span))
+    if len(blocks) == 1:
+        return _one_pass(docs, blocks[0], share, True)
+    names = docs.columns
+    rows = written(docs.withColumn(_KEY, F.monotonically_increasing_id()), "decontamination-rows")
+    done, first = [], True
+    while True:
+        every = _scanned(rows.select(F.col(_KEY).alias("doc_id"), "text"), blocks)
+        found = written(every.where(F.size("hit") > 0).select(F.col("doc_id").alias(_KEY), "n_words", F.col("hit").alias("__hit")), "decontamination-hits")
+        done.append(rows.join(found, _KEY, "left_anti"))
+        if first:
+            found, first = found.where(share * F.size("__hit") < F.col("n_words")), False
+        if found.isEmpty():
+            return reduce(DataFrame.unionByName, done).select(names)
+        rows = written(_cut(rows.join(found.select(_KEY, "__hit"), _KEY).select(*names, _KEY, "__hit")), "decontamination-rows")
+
+
+def _changed(batch: pa.RecordBatch, texts: list, changed: list[int]) -> list[pa.Array]:
+    """The columns of a batch with new texts, and n_chars of those that have changed."""
+    cols = list(batch.columns)
+    if changed:
+        for name in {"text", "n_chars"} & set(batch.schema.names):
+            i = batch.schema.names.index(name)
+            values = texts
+            if name == "n_chars":
+                values = cols[i].to_pylist()
+                for x in changed:
+                    values[x] = len(texts[x])
+            cols[i] = pa.array(values, pa.string() if name == "text" else pa.int64()).cast(cols[i].type)
+    return cols
+
+
+def _cut(rows: DataFrame) -> DataFrame:
+    """Rows without the words at __hit in their text, and without that column."""
+    kept = [x for x in rows.columns if x != "__hit"]
+    place = kept.index("text")
+
+    def run(batches):
+        for batch in batches:
+            hits = batch.column(batch.num_columns - 1).to_pylist()
+            texts = [without(t, h) for t, h in zip(batch.column(place).to_pylist(), hits, strict=True)]
+            cols = _changed(batch, texts, list(range(len(texts))))
+            yield pa.RecordBatch.from_arrays(cols[:-1], kept)
+        settle()
+
+    return rows.mapInArrow(run, rows.select(kept).schema)
+
+
+def _one_pass(docs: DataFrame, block: tuple, share: int, cut: bool) -> DataFrame:
+    """Documents that are not contaminated; with `cut` without the words hit in them."""
+    shared = docs.sparkSession.sparkContext.broadcast(block)
     place = docs.columns.index("text")
 
     def run(batches):
         auto = _automaton(shared.value)
         for batch in batches:
-            keep = []
-            for text in batch.column(place).to_pylist():
+            keep, changed = [], []
+            texts = batch.column(place).to_pylist()
+            for i, text in enumerate(texts):
                 w = words(text)
                 mask, _ = _hits(auto, w) if w and len(auto) else (None, ())
                 n = 0 if mask is None else int(mask.sum())
                 keep.append(not (n and share * n >= len(w)))
-            yield batch.filter(pa.array(keep, pa.bool_()))
+                if cut and n and keep[-1]:
+                    changed.append(i)
+                    while mask is not None:
+                        texts[i] = without(texts[i], np.flatnonzero(mask).tolist())
+                        w = words(texts[i])
+                        mask, _ = _hits(auto, w) if w else (None, ())
+            new = pa.RecordBatch.from_arrays(_changed(batch, texts, changed), batch.schema.names)
+            yield new.filter(pa.array(keep, pa.bool_()))
         settle()
 
     return docs.mapInArrow(run, docs.schema)

@@ -30,6 +30,30 @@ def test_decontamination(spark, monkeypatch, block):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - bad and kept.columns == ["doc_id", "text", "hit"]
 
 
+@pytest.mark.parametrize("block", [2_000_000, 1])
+def test_passages_are_cut(spark, tmp_path, monkeypatch, block):
+    import corpus_pipeline
+
+    monkeypatch.setattr(D, "BLOCK_PATTERNS", block)
+    rng = random.Random(12)
+    text = lambda n: " ".join(f"q{rng.getrandbits(40):x}" for _ in range(n))
+    items = [(i, text(n)) for i, n in enumerate((15, 20, 8))]
+    long, inner = "é " + text(600), items[1][1].split()
+    docs = [
+        (1, f"{long} {items[0][1].upper()}! {long}"),
+        # What is left of the second item comes together once the first is cut.
+        (2, f"{long} {' '.join(inner[:10])} {items[0][1]}, {' '.join(inner[10:])} {long}"),
+        (2, f"{items[2][1]} {long}"), (2, f"{long} {items[2][1]}. end"),
+        (None, f"{items[0][1]} {long}"), (4, f"{text(20)} {items[0][1]}"), (5, long), (5, None),
+    ]
+    want = [(1, f"{long} ! {long}"), (2, f"{long}  {long}"), (2, f" {long}"), (2, f"{long} . end"), (None, f" {long}"), (5, long), (5, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    df = spark.createDataFrame([(d, "s", t, None if t is None else len(t)) for d, t in docs], "doc_id long, hit string, text string, n_chars int").repartition(3)
+    got = corpus_pipeline.decontaminate(spark, df, str(tmp_path))
+    assert got.columns == df.columns
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(repr((d, "s", t, None if t is None else len(t))) for d, t in want)
+
+
 def test_spans():
     text = "Éa, B-c d!"
     assert [text[a:b] for a, b in D.spans(text, [0, 2, 3])] == ["Éa", "c d"]
