@@ -6,7 +6,8 @@ a hit is a place in words, and `spans` maps it to characters of the original tex
 
 The patterns go to the executors. Their number is the benchmark's number of words, which does not
 grow with the corpus; should a benchmark exceed `BLOCK_PATTERNS`, it is worked off in blocks of that
-many patterns, each with an automaton of its own, so that no task holds more than one block.
+many patterns, each with an automaton of its own, so that no task holds more than one block. Rows get
+a key before the blocks, and their hits are merged by it: repeated and null doc_ids stay rows of their own.
 
 Null text has no words and no hits. Empty tables give empty results. Items without words are never
 found. Extra columns are ignored by `measure` and kept by `drop_contaminated` and `clean`.
@@ -15,7 +16,7 @@ found. Extra columns are ignored by `measure` and kept by `drop_contaminated` an
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache, reduce
 
 import numpy as np
@@ -95,10 +96,21 @@ def _blocks(benchmark: DataFrame, span: int) -> Iterator[tuple]:
 
 def scan(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_words, hit (places of hit words), items (ids found), for each document."""
-    return _scanned(docs, _blocks(benchmark, span))
+    blocks = list(_blocks(benchmark, span))
+    if len(blocks) == 1:
+        return _scanned(docs, blocks)
+    rows = _keyed(docs.select(F.col("doc_id").cast("long"), "text"))
+    found = _scanned(rows.select(F.col(_KEY).alias("doc_id"), "text"), blocks).withColumnRenamed("doc_id", _KEY)
+    return rows.drop("text").join(found, _KEY).drop(_KEY)
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Written table of docs and _KEY, a number of the row."""
+    return written(docs.withColumn(_KEY, F.monotonically_increasing_id()), "decontamination-rows")
 
 
-def _scanned(docs: DataFrame, blocks: Iterable[tuple]) -> DataFrame:
+def _scanned(docs: DataFrame, blocks: list[tuple]) -> DataFrame:
+    """scan() with given blocks; doc_id tells rows apart if there is more than one."""
     ids = pa.int64()
     parts = []
     for block in blocks:
@@ -179,13 +191,15 @@ def without(text: str, hit: list[int]) -> str:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: int = 20) -> DataFrame:
     """Documents, with all their columns, that are not contaminated: one narrow pass, no shuffle.
 
-    With a benchmark of more than one block the ids of contaminated documents are joined instead.
+    With a benchmark of more than one block the keys of contaminated rows are joined instead.
     """
-    all_blocks = list(_blocks(benchmark, span))
-    if len(all_blocks) > 1:
-        bad = measure(docs, benchmark, span, share).where("contaminated").select("doc_id").distinct()
-        return docs.join(bad, "doc_id", "left_anti")
-    return _one_pass(docs, all_blocks[0], share, False)
+    blocks = list(_blocks(benchmark, span))
+    if len(blocks) == 1:
+        return _one_pass(docs, blocks[0], share, False)
+    rows = _keyed(docs)
+    n_hit = F.size("hit").cast("long")
+    bad = _scanned(rows.select(F.col(_KEY).alias("doc_id"), "text"), blocks).where((n_hit > 0) & (share * n_hit >= F.col("n_words")))
+    return rows.join(bad.select(F.col("doc_id").alias(_KEY)), _KEY, "left_anti").select(docs.columns)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: int = 20) -> DataFrame:
@@ -200,7 +214,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: int =
     if len(blocks) == 1:
         return _one_pass(docs, blocks[0], share, True)
     names = docs.columns
-    rows = written(docs.withColumn(_KEY, F.monotonically_increasing_id()), "decontamination-rows")
+    rows = _keyed(docs)
     done, first = [], True
     while True:
         every = _scanned(rows.select(F.col(_KEY).alias("doc_id"), "text"), blocks)

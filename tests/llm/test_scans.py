@@ -30,6 +30,20 @@ def test_decontamination(spark, monkeypatch, block):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - bad and kept.columns == ["doc_id", "text", "hit"]
 
 
+@pytest.mark.parametrize("block", [2_000_000, 1])
+def test_repeated_ids(spark, monkeypatch, block):
+    """Rows that repeat a doc_id, or have none, are rows of their own with any number of blocks."""
+    monkeypatch.setattr(D, "BLOCK_PATTERNS", block)
+    items = [(1, "a b c"), (2, "d e"), (3, "f g h")]
+    docs = [(1, "x a b c"), (1, "plain words"), (1, "plain words"), (2, "d e, f g h"), (None, "d e"), (None, "other words"), (None, None), (2, "d e y")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    want = D.brute(docs, items)
+    assert sorted(map(repr, map(tuple, D.measure(df, benchmark).collect()))) == sorted(map(repr, want))
+    kept = D.drop_contaminated(df, benchmark).collect()
+    assert sorted(map(repr, map(tuple, kept))) == sorted(repr(d) for d, w in zip(docs, want, strict=True) if not w[-1])
+
+
 @pytest.mark.parametrize("block", [2_000_000, 1])
 def test_passages_are_cut(spark, tmp_path, monkeypatch, block):
     import corpus_pipeline
