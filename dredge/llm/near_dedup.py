@@ -241,14 +241,13 @@ def _across(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 
     members: (h, band, doc, comp, pc). The component pc of a member drawn at random, as a rule the
     largest, is only compared with the others, and the sketches are in the join's condition, so no pair
-    is made that they rule out. A pair is made in the first band that it shares alone (told by 32 bits of
-    the band hashes).
+    is made that they rule out. A pair is made in the first band that it shares alone.
     """
-    few = members.where("comp <> pc").select("h", "band", F.col("doc").alias("a"), F.col("comp").alias("ac")).join(_sketch(sigs, "a", "short"), "a")
-    every = members.select("h", F.col("doc").alias("b"), F.col("comp").alias("bc"), "pc").join(_sketch(sigs, "b", "short"), "b")
+    few = members.where("comp <> pc").select("h", "band", F.col("doc").alias("a"), F.col("comp").alias("ac")).join(_sketch(sigs, "a", "bands"), "a")
+    every = members.select("h", F.col("doc").alias("b"), F.col("comp").alias("bc"), "pc").join(_sketch(sigs, "b", "bands"), "b")
     few, every = written(few, "few"), written(every, "every")
     right = (F.col("bc") == F.col("pc")) | (F.col("a") > F.col("b"))
-    first = F.array_position(F.zip_with("ashort", "bshort", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
+    first = F.array_position(F.zip_with("abands", "bbands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
     found = few.join(every, (few["h"] == every["h"]) & (F.col("ac") != F.col("bc")) & right & may_link("a", "b", percent) & first)
     return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
@@ -261,8 +260,7 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     # A row's class; a doc_id with several texts is in several classes.
     member = written(sets.select("doc", "d1", "d2", "n").join(classes, ["d1", "d2", "n"]).select("doc", "rep").distinct(), "member")
     first = sets.join(classes.withColumnRenamed("rep", "doc"), ["d1", "d2", "n", "doc"], "left_semi").dropDuplicates(["doc", "d1", "d2", "n"])
-    short = F.transform("bands", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
-    labels = _all_labels(written(first.drop("d1", "d2").withColumn("short", short), "representatives"), member, docs, k, percent)
+    labels = _all_labels(written(first.drop("d1", "d2"), "representatives"), member, docs, k, percent)
     return sigs.join(labels, "doc", "left").select(
         F.col("doc").alias("doc_id"),
         F.col("n").alias("n_shingles"),

@@ -65,6 +65,18 @@ def test_at_the_threshold(spark):
     assert sorted(tuple(r) for r in got) == sorted(near_dedup.brute(rows, k=1))
 
 
+def test_first_shared_band(spark):
+    """A pair whose earlier band agrees in the low 32 bits only is made in the band that it shares."""
+    text = " ".join(f"w{i}" for i in range(50))
+    sigs = near_dedup.signatures(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"), 4).withColumn(
+        "bands", F.array(F.col("doc") * F.lit(2**32) + 5, F.lit(77).cast("long"))
+    )
+    low = F.transform("bands", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
+    members = spark.createDataFrame([(77, 1, 1, 1, 2), (77, 1, 2, 2, 2)], "h long, band int, doc long, comp long, pc long")
+    got = near_dedup._across(members, sigs.withColumn("short", low), 80).collect()
+    assert [tuple(r) for r in got] == [(2, 1)]
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.measure(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
