@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,17 +17,26 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, rows: int, byte_limit: in
     """(text, label) of at most `rows` labelled documents and `byte_limit` bytes, in order of a hash of doc_id.
 
     labels: doc_id and label, one row per doc_id, rows to learn from only. The sample is taken by id
-    before any text moves; a text that alone exceeds the bytes left ends the sample.
+    before any text moves. Each label has an equal share of the bytes; what is left of the shares goes to
+    the other texts. A text that exceeds the bytes left is skipped; only of a label that would have none is
+    the shortest taken, however long.
     """
     draw = F.xxhash64("doc_id", F.lit(7))
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("size"))
     chosen = known.join(labels, "doc_id").select("doc_id", "size", "label").orderBy(draw, "doc_id", "size").limit(rows).collect()
-    size, ids = 0, {}
+    # All texts of a doc_id come along.
+    drawn: dict[int, tuple[object, int]] = {}
     for r in chosen:
-        size += r["size"]
-        if size > byte_limit and ids:
-            break
-        ids[r["doc_id"]] = r["label"]
+        drawn[r["doc_id"]] = (r["label"], drawn.get(r["doc_id"], (None, 0))[1] + r["size"])
+    every = {label for label, _ in drawn.values()}
+    ids, left, spent = {}, byte_limit, Counter()
+    for own in (True, False):
+        for i, (label, size) in drawn.items():
+            if i not in ids and size <= (byte_limit // len(every) - spent[label] if own else left):
+                ids[i], left = label, left - size
+                spent[label] += size
+    for label in every - set(spent):
+        ids[min((i for i in drawn if drawn[i][0] == label), key=lambda i: drawn[i][1])] = label
     if not ids:
         return []
     # At most `rows` ids go to the executors.

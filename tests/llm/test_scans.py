@@ -158,6 +158,22 @@ def test_toxicity(spark):
     assert len(none) == len(docs) and all(r["predicted"] == 0 for r in none)
 
 
+def test_bounded_sample(spark):
+    """A text that doesn't fit is skipped, and a rare label has its share of the bytes."""
+    from dredge.llm.labelled import bounded_sample
+
+    ids = spark.range(35).withColumnRenamed("id", "doc_id")
+    order = [r["doc_id"] for r in ids.orderBy(F.xxhash64("doc_id", F.lit(7))).collect()]
+    rare = order[-5:]
+    labels = ids.withColumn("label", F.when(F.col("doc_id").isin(rare), "b").otherwise("a"))
+    long_first = ids.withColumn("text", F.when(F.col("doc_id") == order[0], F.repeat(F.lit("y"), 9_000)).otherwise(F.repeat(F.lit("x"), 100)))
+    assert len(bounded_sample(long_first, labels, 100, 5_000)) == 34
+    even = bounded_sample(ids.withColumn("text", F.repeat(F.lit("x"), 100)), labels, 100, 1_000)
+    assert sorted(label for _, label in even) == ["a"] * 5 + ["b"] * 5
+    only_long = bounded_sample(ids.withColumn("text", F.when(F.col("doc_id").isin(rare), F.repeat(F.lit("y"), 9_000)).otherwise("x")), labels, 100, 5_000)
+    assert [label for _, label in only_long].count("b") == 1 and len(only_long) == 31
+
+
 def test_language(spark):
     rng = random.Random(5)
     vocab = {"aa": ["alpha", "andra", "assa"], "zz": ["zuzu", "zörk", "wizz"]}
