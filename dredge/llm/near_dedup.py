@@ -12,9 +12,15 @@ fewer), ASCII letters in lower case. Two documents are linked if 100 * intersect
     The XOR population count of two odd sketches estimates how far the samples differ; pairs that
     may be linked are confirmed on the full sets.
 3.  Confirmed links are joined to components. Buckets whose members are all in one component need
-    nothing more. Members of the others are compared with another representative each of ROUNDS times;
-    then every pair of such a bucket's members in different components is, where the sketches, carried
-    in the join, allow it. So every pair that shares a band is compared or already connected.
+    nothing more. In one of at most SMALL members the pairs in different components are candidates. A
+    larger one is refined by a pivot, the member that shares most buckets with most others: every member
+    is compared with it on the full sets, and what a member has more and less than the pivot, its
+    deviations, tells whether two members can be linked. Two that aren't both linked with the pivot must
+    share so many deviations that they share one among the first few of each (`_deviations`), and these
+    few are the keys of new, smaller buckets without the pivot. A second pivot separates variants of a
+    text; a third would no longer be near the middle of its bucket, so what is left then, members at the
+    threshold that share a rare deviation, are candidates by their sketches and bounds. So every pair that
+    shares a band is compared, ruled out exactly or already connected, and no band's bucket is expanded.
 
 A pair of similarity 0.8 shares no band once in 10**7; its sketches are allowed SIGMAS standard
 deviations from what they are expected to show at the threshold.
@@ -26,6 +32,7 @@ columns are ignored by `measure` and kept by `dedup`.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -38,7 +45,12 @@ from dredge.llm import kernel as K
 from dredge.llm.common import arrow_map, int64, signed, written
 
 BANDS, ROWS, BINS, SKETCH_BITS = 32, 4, 1024, 1024
-SIGMAS, ROUNDS = 6.0, 1
+SIGMAS = 6.0
+#: Members of a bucket whose pairs are candidates; beyond, a pivot refines it, at most so many times.
+SMALL, LEVELS = 64, 2
+#: Sides of a bucket's members: pairs are made within BOTH, and between ONE and OTHER.
+BOTH, ONE, OTHER = 1, 2, 4
+_NO_CAP = 1 << 62
 
 _rng = np.random.Generator(np.random.PCG64(77))
 _MULTIPLIERS = _rng.integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -149,9 +161,7 @@ def _estimated(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) that are linked, on their full sets. texts: (doc, text), one row per doc."""
-    left = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
+    """Pairs (a, b) that are linked, on their full sets. texts: (doc, text)."""
 
     def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         a, b = int64(batch.column(0)), int64(batch.column(1))
@@ -169,8 +179,7 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Data
             if ok.any():
                 yield pa.RecordBatch.from_arrays([pa.array(a[x:y][ok]), pa.array(b[x:y][ok])], ["a", "b"])
 
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
-    return arrow_map(rows, step, "a long, b long")
+    return arrow_map(_compared(pairs, texts), step, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -191,65 +200,155 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _compared(pairs: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
+    """Pairs (a, b) with both texts, ta and tb, and more columns. texts: (doc, text)."""
+    left = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", *more)
+
+
+_DEVIATIONS = "a long, b long, h long, side int, excess long, cap long"
+
+
+def _deviations(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Keys (h) by which members (a) of a bucket with pivot b can still be linked; side 0: a and b are linked.
+
+    pairs: (a, b, sides). Let a member have e shingles more and m fewer than the pivot of size n, and two
+    members have o of these deviations in common. Then they are linked if and only if
+        (100 + percent) o >= A + A' - (100 - percent) n,  A = percent e + 100 m.
+    A member is near, that is linked with the pivot, if its excess A - (100 - percent) n isn't positive.
+    With a far one of excess D, o >= (A' + D) / (100 + percent) for any other, and as A' >= percent o, also
+    o >= D / 100. Deviations are put in one order, shingles more (rare ones) before shingles fewer; two
+    linked members have one in common among the first d - o + 1 of each one's d. As at place i at most
+    d - i are left to have in common, D must not exceed the cap (100 + percent) (d - i) - A'.
+
+    Far members meet one another by short lists of both, and near ones by a long list of their own.
+    """
+    names = [x.split()[0] for x in _DEVIATIONS.split(", ")]
+    least = math.gcd(100, percent)
+
+    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        a, b, sides = (int64(batch.column(i)) for i in (0, 1, 4))
+        (bufa, offa), (bufb, offb) = (K.column_bytes(batch.column(i)) for i in (2, 3))
+        for x, y in K.blocks(offa + offb):
+            ra, ha = shingles(bufa[offa[x] : offa[y]], offa[x : y + 1] - offa[x], k)
+            rb, hb = shingles(bufb[offb[x] : offb[y]], offb[x : y + 1] - offb[x], k)
+            row, full, fewer = np.concatenate([ra, rb]), np.concatenate([ha, hb]), np.repeat([False, True], [len(ra), len(rb)])
+            key = full ^ K.mix(row.astype(np.uint64))
+            order = np.argsort(key)
+            same = key[order][1:] == key[order][:-1]
+            alone = order[~(np.append(same, False) | np.append(False, same))] if len(order) else order
+            alone = alone[np.lexsort((full[alone], fewer[alone], row[alone]))]
+            n = np.bincount(rb, minlength=y - x)
+            more, less = (np.bincount(row[alone], fewer[alone] == f, minlength=y - x).astype(np.int64) for f in (False, True))
+            weight, size = percent * more + 100 * less, more + less
+            excess = weight - (100 - percent) * n
+            linked = np.flatnonzero((excess <= 0) & (n > 0))
+            none = np.zeros(len(linked), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (a[x:y][linked], b[x:y][linked], none, none.astype(np.int32), none, none)], names)
+            of = row[alone]
+            left = size[of] - np.arange(len(of)) + (np.cumsum(size) - size)[of]
+            far = (excess > 0)[of]
+            short = left * (100 + percent) >= weight[of] + least
+            long = far & (left * 100 >= excess[of])
+            cap = left * (100 + percent) - weight[of]
+            given = sides[x:y][of]
+            named = full[alone] * _MULTIPLIERS[0] + K.mix(b[x:y][of].view(np.uint64)) + fewer[alone].astype(np.uint64)
+            # Which lists a member is in, by its side so far: (who, side from now on, salt of the list, far's excess, capped).
+            lists = (
+                ((given & BOTH > 0) & far & short, BOTH, 3, True, True), ((given & (BOTH | ONE) > 0) & long, ONE, 4, True, False),
+                ((given & (BOTH | OTHER) > 0) & ~far & short, OTHER, 4, False, True),
+                ((given & ONE > 0) & far & short, ONE, 5, True, True), ((given & OTHER > 0) & far & short, OTHER, 5, True, True),
+            )
+            for who, side, salt, exceeds, capped in lists:
+                at = np.flatnonzero(who)
+                for i in range(0, len(at), 50_000):
+                    j = at[i : i + 50_000]
+                    doc = x + of[j]
+                    most = cap[j] if capped else np.full(len(j), _NO_CAP)
+                    cols = a[doc], b[doc], signed(K.mix(named[j] ^ _SALTS[salt])), np.full(len(j), side, np.int32), excess[of[j]] * exceeds, most
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], names)
+
+    return arrow_map(_compared(pairs, texts, "sides"), step, _DEVIATIONS)
+
+
 def _links(sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc, comp) of the linked class representatives. sigs: one row per class."""
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc"), "text")
-    bands = sigs.select("doc", F.posexplode("bands").alias("band", "h"))
-    confirmed: list[DataFrame] = []
-    tried: list[DataFrame] = []
-
-    def check(pairs: DataFrame, name: str, estimated: bool = False) -> int:
-        """Confirm new candidate pairs; returns how many links they gave."""
-        if tried:
-            pairs = pairs.join(reduce(DataFrame.union, tried), ["a", "b"], "left_anti")
-        pairs = written(pairs if estimated else _estimated(pairs, sigs, percent), f"candidates-{name}")
-        found = written(_confirmed(pairs, texts, k, percent).distinct(), f"confirmed-{name}")
-        tried.append(pairs)
-        confirmed.append(found)
-        return found.count()
-
-    def joined() -> DataFrame:
-        return components(reduce(DataFrame.union, confirmed))
+    bands = sigs.select("doc", F.explode("bands").alias("h"))
+
+    def check(pairs: DataFrame, name: str) -> DataFrame:
+        """Candidate pairs whose sketches allow a link and whose sets confirm it."""
+        return written(_confirmed(pairs, texts, k, percent).distinct(), f"confirmed-{name}")
 
     heads = written(bands.groupBy("h").agg(F.min("doc").alias("b"), F.count("*").alias("n")).where("n > 1").select("h", "b"), "buckets")
-    starred = bands.drop("band").join(heads, "h").where("doc > b").groupBy(F.col("doc").alias("a")).agg(F.min("b").alias("b"))
-    check(starred, "0")
-    labels = joined()
-    for number in range(1, ROUNDS + 2):
-        full = bands.join(heads.select("h"), "h", "left_semi").join(labels, "doc", "left")
-        members = written(full.select("h", "band", "doc", F.coalesce("comp", "doc").alias("comp")), "members")
-        pick = F.min_by("doc", F.xxhash64("doc", F.lit(number)))
-        mixed = members.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), pick.alias("p"), F.min_by("comp", F.xxhash64("doc", F.lit(number))).alias("pc"))
-        mixed = written(mixed.where("x < y").select("h", "p", "pc"), "mixed")
-        if mixed.isEmpty():
-            break
-        open_ = members.join(mixed, "h")
-        if number <= ROUNDS:
-            # One representative per document, drawn from its mixed buckets.
-            one = open_.where("comp <> pc").groupBy("doc").agg(F.min_by("p", F.xxhash64("h", F.lit(number))).alias("p"))
-            pairs = one.select(F.greatest("doc", "p").alias("a"), F.least("doc", "p").alias("b")).distinct()
-        else:
-            pairs = _across(open_, sigs, percent)
-        if check(pairs, str(number), number > ROUNDS):
-            labels = joined()
-        heads = mixed.select("h")
-    return labels
-
-
-def _across(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
-    """All pairs of a bucket's members in different components that the sketches allow.
-
-    members: (h, band, doc, comp, pc). The component pc of a member drawn at random, as a rule the
-    largest, is only compared with the others, and the sketches are in the join's condition, so no pair
-    is made that they rule out. A pair is made in the first band that it shares alone.
+    starred = bands.join(heads, "h").where("doc > b").groupBy(F.col("doc").alias("a")).agg(F.min("b").alias("b"))
+    labels = components(check(written(_estimated(starred, sigs, percent), "candidates-star"), "star"))
+    level = 0
+    members = bands.join(heads.select("h"), "h", "left_semi").select("h", "doc", F.lit(BOTH).alias("side"), F.lit(0).cast("long").alias("excess"), F.lit(_NO_CAP).alias("cap"))
+    while True:
+        small, large = _open(members, labels, SMALL if level < LEVELS else None)
+        level += 1
+        new = []
+        if not small.isEmpty():
+            new.append(check(_pairs(small, sigs, percent), "small"))
+        last = large is None or large.isEmpty()
+        if not last:
+            found = written(_deviations(_pivoted(large), texts, k, percent), "deviations")
+            new.append(found.where("side = 0").select("a", "b"))
+            members = found.where("side > 0").select("h", F.col("a").alias("doc"), "side", "excess", "cap")
+        if any(not x.isEmpty() for x in new):
+            # Components so far are links of each document with its smallest.
+            labels = components(reduce(DataFrame.union, new, labels.where("doc <> comp").select(F.col("doc").alias("a"), F.col("comp").alias("b"))))
+        if last:
+            return labels
+        members = _fitting(members)
+
+
+def _fitting(members: DataFrame) -> DataFrame:
+    """Members of a bucket that fit at least one other by side, excess and cap, as far as extremes tell."""
+    of = lambda f, c, side: f(F.when(F.col("side") == side, F.col(c)))
+    known = members.groupBy("h").agg(
+        F.count("*").alias("n"), of(F.min, "excess", BOTH).alias("e1"), of(F.max, "cap", BOTH).alias("c1"), of(F.min, "excess", ONE).alias("e2"), of(F.max, "cap", ONE).alias("c2"),
+        of(F.min, "excess", OTHER).alias("e4"), of(F.max, "cap", OTHER).alias("c4"),
+    )
+    known = written(known.where("n > 1 and (e1 is not null or e2 <= c4 and e4 <= c2)").drop("n"), "shared")
+    fits = reduce(lambda x, s: x | ((F.col("side") == s[0]) & (F.col("excess") <= F.col(f"c{s[1]}")) & (F.col("cap") >= F.col(f"e{s[1]}"))), ((BOTH, 1), (ONE, 4), (OTHER, 2)), F.lit(False))
+    return members.join(known, "h").where(fits).select(members.columns)
+
+
+def _open(members: DataFrame, labels: DataFrame, small: int | None) -> tuple[DataFrame, DataFrame | None]:
+    """Members of the buckets that have several components, with comp and n: small and large buckets."""
+    rows = written(members.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")), "members")
+    mixed = rows.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n"), F.bit_or("side").alias("sides")).where(f"x < y and sides not in ({ONE}, {OTHER})")
+    rows = written(rows.join(written(mixed.select("h", "n"), "mixed"), "h"), "open")
+    return (rows, None) if small is None else (rows.where(F.col("n") <= small), rows.where(F.col("n") > small))
+
+
+def _pairs(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of a bucket's members in different components that sides, caps and sketches allow.
+
+    All of that is in the join's condition, so that no other pair is made.
+    """
+    one, two = (
+        members.select("h", F.col("doc").alias(x), *(F.col(c).alias(f"{x}_{c}") for c in ("side", "excess", "cap", "comp"))).join(_sketch(sigs, x), x)
+        for x in "ab"
+    )
+    sides = (F.col("a_side") * F.col("b_side")).isin(BOTH * BOTH, ONE * OTHER)
+    fits = (F.col("a") > F.col("b")) & (F.col("a_comp") != F.col("b_comp")) & sides & (F.col("a_excess") <= F.col("b_cap")) & (F.col("b_excess") <= F.col("a_cap"))
+    found = written(one, "one").join(written(two, "two"), "h").where(fits & may_link("a", "b", percent))
+    return written(found.select("a", "b").distinct(), "candidates-small")
+
+
+def _pivoted(members: DataFrame) -> DataFrame:
+    """Every member (a) with the pivots (b) of its buckets, and its sides there.
+
+    The pivot is the member that meets most others in all its buckets, in buckets of sides one of the OTHER.
     """
-    few = members.where("comp <> pc").select("h", "band", F.col("doc").alias("a"), F.col("comp").alias("ac")).join(_sketch(sigs, "a", "bands"), "a")
-    every = members.select("h", F.col("doc").alias("b"), F.col("comp").alias("bc"), "pc").join(_sketch(sigs, "b", "bands"), "b")
-    few, every = written(few, "few"), written(every, "every")
-    right = (F.col("bc") == F.col("pc")) | (F.col("a") > F.col("b"))
-    first = F.array_position(F.zip_with("abands", "bbands", lambda x, y: x == y), F.lit(True)) == F.col("band") + 1
-    found = few.join(every, (few["h"] == every["h"]) & (F.col("ac") != F.col("bc")) & right & may_link("a", "b", percent) & first)
-    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    known = written(members.groupBy("doc").agg(F.sum("n").alias("met")), "met")
+    best = members.where(F.col("side") != ONE).join(known, "doc").groupBy("h").agg(F.max(F.struct("met", -F.col("doc"))).alias("m"))
+    best = written(best.select("h", (-F.col("m.col2")).alias("b")), "pivots")
+    return members.join(best, "h").where("doc <> b").groupBy(F.col("doc").alias("a"), "b").agg(F.bit_or("side").cast("long").alias("sides"))
 
 
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

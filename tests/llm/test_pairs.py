@@ -65,16 +65,27 @@ def test_at_the_threshold(spark):
     assert sorted(tuple(r) for r in got) == sorted(near_dedup.brute(rows, k=1))
 
 
-def test_first_shared_band(spark):
-    """A pair whose earlier band agrees in the low 32 bits only is made in the band that it shares."""
-    text = " ".join(f"w{i}" for i in range(50))
-    sigs = near_dedup.signatures(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string"), 4).withColumn(
-        "bands", F.array(F.col("doc") * F.lit(2**32) + 5, F.lit(77).cast("long"))
-    )
-    low = F.transform("bands", lambda x: F.shiftright(F.shiftleft(x, 32), 32).cast("int"))
-    members = spark.createDataFrame([(77, 1, 1, 1, 2), (77, 1, 2, 2, 2)], "h long, band int, doc long, comp long, pc long")
-    got = near_dedup._across(members, sigs.withColumn("short", low), 80).collect()
-    assert [tuple(r) for r in got] == [(2, 1)]
+@pytest.mark.parametrize("small", [3, 64])
+def test_refinement(spark, monkeypatch, small):
+    """A group of near copies around the threshold, with variants of its own, and another of one template."""
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    rng = random.Random(12)
+    rows = []
+    for words, copies, edits in ((100, 90, 9), (60, 50, 5)):
+        base = [f"{rng.getrandbits(40):x}" for _ in range(words)]
+        variant = base[:30] + [f"v{i}" for i in range(6)] + base[36:]
+        for _ in range(copies):
+            copy = list(rng.choice([base, base, variant]))
+            for _ in range(rng.randint(0, edits)):
+                at = rng.randrange(len(copy))
+                kind = rng.randrange(4)
+                copy[at : at + (kind < 3)] = [f"{rng.getrandbits(40):x}"] * (kind != 1) if rng.random() < 0.8 else ["common"]
+            rows.append((len(rows), " ".join(copy)))
+    rng.shuffle(rows)
+    want = sorted(near_dedup.brute(rows))
+    got = near_dedup.measure(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(r) for r in got) == want
+    assert 5 < len({c for _, _, c, _ in want}) < len(rows) - 30
 
 
 def test_near_dedup_empty(spark):
