@@ -1,13 +1,18 @@
 """Main text of web pages by text-to-tag ratios, from standard-library parser events.
 
-One streaming pass over the parser's events cuts a page into lines, one per block of text, each with
-its number of characters, its number of tags and the elements it stands in. Lines in elements that
-are not the article by name (menus, headers, footers, asides, forms, scripts, styles, adverts,
-notices, reader comments, by tag, role, class or id) are set aside. The ratio of text to tags of the
-remaining lines is smoothed with a Gaussian and split at the threshold between its two clusters. The
-lines over the threshold vote for the region: the article or main elements if they hold most of that
-text, else the span from the first to the last such line. All lines of the region are the text, in
-page order; none is dropped for being short.
+One streaming pass over the parser's events cuts a page into lines, one per block of text, each with its
+number of characters, of tags and of characters in links, and the element it stands in. The ratio of
+text to tags of each line is smoothed with a Gaussian along the page and split at the threshold between
+its two clusters; the lines over it are rich. Elements that are not the article by name (menus, headers,
+footers, asides, forms, adverts, notices, comments, by tag, role, class or id) are a hint: their lines
+count as without text.
+
+The region is chosen by the rich lines: from the root the way goes to the element that holds most of the
+rich text, as long as it holds SHARE of it, and ends at the last element that can contain an article, an
+article or main element if it passed one. All lines of the region are the text, in page order, short ones
+too, but for those of elements named apart and poor lines made of links. Where no element below the body
+holds the article, the region is the span of the rich lines, widened by neighbours of the same parent
+that read like text; headings right before the region belong to it.
 
 Character references are decoded; white space within a block becomes one space. Null and empty pages
 have empty text. Extra columns are ignored; repeated rows give repeated results.
@@ -18,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -61,29 +67,50 @@ def _named_apart(attrs: list[tuple[str, str | None]]) -> bool:
     return False
 
 
+#: Elements that hold an article, and elements that hold a piece of running text.
+HOLDERS = frozenset("article main section div td center body html".split())
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Part of the rich text that an element must hold to be followed.
+SHARE = 0.6
+
+
+class Line(NamedTuple):
+    text: str
+    tags: int
+    linked: int
+    element: int
+    apart: bool
+
+
 class _Lines(HTMLParser):
-    """Collects lines: (text, tags, set apart, in an article or main element)."""
+    """Collects lines and the elements they stand in; parents come before their children."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []
-        self.apart = self.article = 0
-        self.lines: list[tuple[str, int, bool, bool]] = []
+        #: Tag and parent of each element; 0 is the page.
+        self.tag_of, self.parent = ["html"], [0]
+        #: Open elements: (tag, set apart, number, number of the nearest block).
+        self.open: list[tuple[str, bool, int, int]] = []
+        self.apart = self.article = self.links = 0
+        self.lines: list[Line] = []
         self.held: list[str] = []
-        self.tags = 0
+        self.tags = self.linked = 0
+        self.place: tuple[int, bool] | None = None
 
     def _end_line(self) -> None:
         if self.held:
             text = " ".join("".join(self.held).split())
-            if text:
-                self.lines.append((text, max(1, self.tags), self.apart > 0, self.article > 0))
+            if text and self.place is not None:
+                self.lines.append(Line(text, max(1, self.tags), self.linked, *self.place))
                 self.tags = 0
-            self.held = []
+            self.held, self.linked, self.place = [], 0, None
 
     def _pop(self) -> None:
-        tag, apart = self.open.pop()
+        tag, apart, _, _ = self.open.pop()
         self.apart -= apart
         self.article -= tag in ("article", "main")
+        self.links -= tag == "a"
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in BLOCK:
@@ -106,9 +133,13 @@ class _Lines(HTMLParser):
             # The body begins whatever was left open before it.
             while self.open:
                 self._pop()
-        self.open.append((tag, apart))
+        number = len(self.parent)
+        self.parent.append(self.open[-1][2] if self.open else 0)
+        self.tag_of.append(tag)
+        self.open.append((tag, apart, number, number if tag in BLOCK or not self.open else self.open[-1][3]))
         self.apart += apart
         self.article += tag in ("article", "main")
+        self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
@@ -128,6 +159,10 @@ class _Lines(HTMLParser):
     def handle_data(self, data: str) -> None:
         if self.open and self.open[-1][0] in ("script", "style", "template", "noscript"):
             return
+        if data.strip():
+            self.linked += len(data) if self.links else 0
+            if self.place is None:
+                self.place = (self.open[-1][3] if self.open else 0, self.apart > 0)
         self.held.append(data)
 
     def close(self) -> None:
@@ -135,11 +170,11 @@ class _Lines(HTMLParser):
         self._end_line()
 
 
-def lines(html: str) -> list[tuple[str, int, bool, bool]]:
+def parse(html: str) -> _Lines:
     parser = _Lines()
     parser.feed(html)
     parser.close()
-    return parser.lines
+    return parser
 
 
 def smooth(ratio: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -165,23 +200,81 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def rich_lines(lines: list[Line]) -> tuple[np.ndarray, np.ndarray, float]:
+    """Which lines are over the threshold, the smoothed ratios, and the threshold."""
+    ratio = smooth(np.array([0.0 if x.apart else len(x.text) / x.tags for x in lines]))
+    cut = threshold(ratio)
+    rich = (ratio >= cut) & ~np.array([x.apart for x in lines])
+    return rich, ratio, cut
+
+
+def container(page: _Lines, rich: np.ndarray) -> int:
+    """Number of the element that holds the article; 0 where only the page does."""
+    mass = np.zeros(len(page.parent))
+    for x, r in zip(page.lines, rich, strict=True):
+        mass[x.element] += len(x.text) * r
+    own = mass.tolist()
+    heaviest = [0] * len(own)
+    for i in range(len(own) - 1, 0, -1):
+        up = page.parent[i]
+        own[up] += own[i]
+        if not heaviest[up] or own[i] >= own[heaviest[up]]:
+            heaviest[up] = i
+    at, best, named = 0, 0, 0
+    while heaviest[at] and own[heaviest[at]] >= SHARE * own[0] > 0:
+        at = heaviest[at]
+        tag = page.tag_of[at]
+        if tag in ("article", "main"):
+            named = at
+        if tag in HOLDERS:
+            best = 0 if tag in ("html", "body") else at
+    return named or best
+
+
+def _inside(page: _Lines, element: int) -> np.ndarray:
+    """Which lines stand in the element."""
+    within = [False] * len(page.parent)
+    for i in range(len(within)):
+        within[i] = i == element or (i > 0 and within[page.parent[i]])
+    return np.array([within[x.element] for x in page.lines])
+
+
 def main_text(html: str | None) -> str:
     """The article's blocks, joined by newlines."""
-    if not html:
+    page = parse(html) if html else None
+    lines = page.lines if page else []
+    if all(x.apart for x in lines):
         return ""
-    kept = [x for x in lines(html) if not x[2]]
-    if not kept:
-        return ""
-    size = np.array([len(x[0]) for x in kept], float)
-    ratio = smooth(size / np.array([x[1] for x in kept]))
-    rich = ratio >= threshold(ratio)
-    inside = np.array([x[3] for x in kept])
-    if (size * (rich & inside)).sum() * 2 >= (size * rich).sum() and inside.any():
-        chosen = np.flatnonzero(inside)
+    rich, ratio, cut = rich_lines(lines)
+    if not rich.any():
+        # Everything over the threshold is set apart: judge the rest alone.
+        left = np.array([not x.apart for x in lines])
+        rich = left & (ratio >= threshold(ratio[left]))
+    linky = np.array([2 * x.linked > len(x.text) for x in lines])
+    element = container(page, rich)
+    if element:
+        chosen = _inside(page, element)
     else:
         found = np.flatnonzero(rich)
-        chosen = np.arange(found[0], found[-1] + 1)
-    return "\n".join(kept[i][0] for i in chosen)
+        first, last = int(found[0]), int(found[-1])
+        parent = lambda i: page.parent[lines[i].element]
+
+        def reads(i: int, beside: int) -> bool:
+            if not 0 <= i < len(lines) or lines[i].apart or linky[i] or parent(i) != parent(beside):
+                return False
+            return page.tag_of[lines[i].element] in TEXTUAL or ratio[i] >= cut / 2
+
+        while reads(first - 1, first):
+            first -= 1
+        while reads(last + 1, last):
+            last += 1
+        chosen = np.zeros(len(lines), bool)
+        chosen[first : last + 1] = True
+    start = int(np.flatnonzero(chosen)[0])
+    while start and page.tag_of[lines[start - 1].element] in HEADINGS and not lines[start - 1].apart and not linky[start - 1]:
+        start -= 1
+        chosen[start] = True
+    return "\n".join(x.text for x, c, r, link in zip(lines, chosen, rich, linky, strict=True) if c and not x.apart and (r or not link))
 
 
 def extract(pages: DataFrame) -> DataFrame:

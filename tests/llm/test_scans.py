@@ -83,9 +83,40 @@ def test_main_text():
     assert H.main_text("<article><p>cut off in the mid") == "cut off in the mid"
 
 
+def _plain_page(sizes, tag="div", wrap=True):
+    """A page without telling names: a menu of links, text blocks of these sizes, a last line."""
+    body = "".join(f"<{tag}>{'x' * n}</{tag}>" for n in sizes)
+    menu = "<div><ul>" + "<li><a href=/>menu item</a></li>" * 8 + "</ul></div>"
+    return f"<body>{menu}{f'<div>{body}</div>' if wrap else body}<div>(c) someone</div></body>"
+
+
+@pytest.mark.parametrize(("tag", "wrap"), [("div", True), ("div", False), ("p", True), ("p", False)])
+def test_pages_without_names(tag, wrap):
+    """Ratios alone find the article, with its short first and last block."""
+    sizes = [25, 300, 280, 320, 290, 310, 40]
+    assert [len(x) for x in H.main_text(_plain_page(sizes, tag, wrap)).split("\n")] == sizes
+
+
+def test_smoothing_decides(monkeypatch):
+    """A single long line among links is smoothed away; without smoothing it would be the article."""
+    blocks, menu = (220, 230, 240, 220, 230, 240, 220, 230), "<div><a>m</a></div>" * 3
+    page = f"<body><div>{menu}<p>{'s' * 600}</p>{menu}</div><div>" + "".join(f"<p>{'y' * n}</p>" for n in blocks) + "</div></body>"
+    assert [len(x) for x in H.main_text(page).split("\n")] == list(blocks)
+    monkeypatch.setattr(H, "smooth", lambda ratio: ratio)
+    assert "y" not in H.main_text(page)
+
+
+def test_links_in_the_article():
+    page = _plain_page([200, 180, 220]).replace("</div><div>(c)", "<ul><li><a href=/>more</a></li></ul></div><div>(c)")
+    assert "more" not in H.main_text(page)
+    assert H.main_text("<h2>Title</h2><div>" + "<p>" + "long text " * 20 + "</div>").startswith("Title\n")
+    assert H.main_text("<b>" * 3_000 + "deep") == "deep" and len(H.main_text("<p>" + "word " * 200_000)) == 999_999
+
+
 def test_extract_rows(spark):
     rows = [(1, "u", "<article><p>a</p></article>"), (2, None, None), (1, "u", "<article><p>a</p></article>"), (None, "v", "")]
     got = H.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))).collect()
+    assert H.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert sorted(map(repr, (tuple(r) for r in got))) == sorted(map(repr, [(1, "u", "a", 1), (2, None, "", 0), (1, "u", "a", 1), (None, "v", "", 0)]))
 
 
