@@ -4,14 +4,15 @@ A document's tokens are its ids of a public tokenizer and an end mark. Only a do
 `capacity` is cut: its first piece takes the remainder, all others are full. Full pieces are
 sequences of their own; the rest is bin packing with integer sizes.
 
-Packing is distributed: pieces are dealt to partitions by hash, each partition packs by best-fit
+Packing is distributed: pieces are dealt to partitions by their number, each partition packs by best-fit
 decreasing, and a dual-feasible-function bound certifies how few bins any packing of that partition
-needs. Bins of certified partitions are final. Where bins exceed the bound, the partition keeps its
-full bins and hands the pieces of its emptiest bins on; partitions hand on to a next round with an
-eighth of the partitions, which packs again, until one partition or no gap is left. What is handed
-on is at most HAND_ON pieces a partition, so no round gathers an unbounded group.
+needs. Bins of certified partitions are final. Where bins exceed the bound, the partition keeps its full
+bins and hands the pieces of all others on; in the next round, with fewer partitions of about the same
+size, they meet pieces of other partitions and are packed again, until no gap, or after ROUNDS rounds.
+The column `certified` tells whether a sequence's partition met its bound; full sequences always do.
 
-Null and empty texts have the end mark alone. Rows that repeat a doc_id are pieces of their own.
+Null and empty texts have the end mark alone. Rows that repeat a doc_id are pieces of their own. Rows
+without doc_id are packed as well. Extra columns are ignored; an empty table gives no pieces.
 """
 
 from __future__ import annotations
@@ -21,18 +22,19 @@ import json
 import zlib
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dredge.llm.common import settle, written
 
 CAPACITY = 2048
-#: Entries of a task's cache of encoded words, pieces of a partition, and pieces that one hands on at most.
-CACHE, PART_PIECES, HAND_ON = 150_000, 50_000, 4_000
+#: Entries of a task's cache of encoded words, pieces of a partition on average, and rounds of packing.
+CACHE, PART_PIECES, ROUNDS = 150_000, 50_000, 4
 
 
 #: Fixed value: how the byte-level pre-tokenizer splits text.
@@ -48,14 +50,20 @@ def _byte_letters() -> dict[str, int]:
 
 @lru_cache(maxsize=2)
 def _encode(path: str):
-    """A function text -> ids with the ids of the tokenizer file.
+    """A function text -> ids with the ids of the tokenizer file, and what its added tokens are in a text.
 
     A plain byte-level BPE whose ids ascend in the order of its merges gives the same ids in tiktoken,
-    which takes a third of the time for a rare word; any other file is run by tokenizers.
+    which takes a third of the time for a rare word; any other file, and any text with an added token, is
+    run by tokenizers.
     """
+    from tokenizers import Tokenizer
+
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
+    added = tuple(x["content"] for x in spec.get("added_tokens", []))
+    t = Tokenizer.from_file(path)
+    whole = lambda text: t.encode(text, add_special_tokens=False).ids
     plain = (
         model.get("type") == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         and not spec.get("normalizer") and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
@@ -66,14 +74,9 @@ def _encode(path: str):
         if all(x is not None for x in merged) and all(a < b for a, b in zip(merged, merged[1:], strict=False)):
             import tiktoken
 
-            special = {x["content"] for x in spec.get("added_tokens", [])}
-            ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in special}
-            return tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return lambda text: t.encode(text, add_special_tokens=False).ids
+            ranks = {bytes(letters[c] for c in token): i for token, i in vocab.items() if token not in added}
+            return tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, whole, added
+    return whole, whole, added
 
 
 class _Unsafe(Exception):
@@ -103,22 +106,22 @@ class Encoder:
 
     A single space between two characters that aren't white space always begins a token of its own
     pre-token, so the parts of a text between such spaces are encoded apart and remembered. A text
-    with other white space beside a space is encoded whole.
+    with other white space beside a space is encoded whole, and so is one with an added token in it.
     """
 
     def __init__(self, path: str) -> None:
-        self.encode = _encode(path)
+        self.encode, self.exact, self.added = _encode(path)
         self.first, self.later = _Known(self.encode, ""), _Known(self.encode, " ")
 
     def __call__(self, text: str) -> bytes:
+        for token in self.added:
+            if token in text:
+                return array("I", self.exact(text)).tobytes()
         parts = text.split(" ")
         try:
             return self.first[parts[0]] + b"".join(map(self.later.__getitem__, parts[1:]))
         except _Unsafe:
-            return self.whole(text)
-
-    def whole(self, text: str) -> bytes:
-        return array("I", self.encode(text)).tobytes()
+            return array("I", self.encode(text)).tobytes()
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -133,18 +136,19 @@ _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, key
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:
-    """One row per piece; key identifies the piece's row, with its batch and place, for dealing."""
+    """One row per piece; key numbers the pieces: partition and place in it."""
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode, number = Encoder(path), TaskContext.get().partitionId() << 40
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 ids = (encode(text) if text else b"") + end
                 for i, (s, n) in enumerate(cuts(len(ids) // 4, capacity)):
                     crc = zlib.crc32(ids[4 * s : 4 * (s + n)])
-                    rows.append((doc_id, i, s, n, crc, (crc << 20) ^ len(rows)))
+                    rows.append((doc_id, i, s, n, crc, number))
+                    number += 1
             cols = list(zip(*rows, strict=True)) or [()] * 6
             types = [pa.int64(), pa.int32(), *[pa.int64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in _PIECES.split(", ")])
@@ -205,30 +209,26 @@ def lower_bound(sizes: np.ndarray, capacity: int) -> int:
     return best
 
 
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, key long, home long, bin long, offset long, loose boolean"
+_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, key long, home long, bin long, offset long, loose boolean, certified boolean"
 
 
 def _round(rows: DataFrame, number: int, parts: int, last: bool, capacity: int) -> DataFrame:
-    """Pack each partition; loose pieces are those handed on. Bins are numbered per partition and round."""
-    names = [x.split()[0] for x in _PACKED.split(", ")]
-    given = names[:6]
+    """Pack each partition; loose pieces are those handed on. Bins are numbered in their partition."""
+    given = [x.split()[0] for x in _PACKED.split(", ")][:6]
 
     def pack(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in ("key", "doc_id", "piece")])
+        table = table.sort_by([("key", "ascending")])
         home = table["home"].to_numpy()[0]
         sizes = table["length"].to_numpy()
         bins, offsets = best_fit_decreasing(sizes, capacity)
         n = int(bins.max()) + 1
-        fill = np.bincount(bins, sizes, minlength=n)
-        loose = np.zeros(len(sizes), bool)
-        if n > lower_bound(sizes, capacity) and not last:
-            emptiest = np.argsort(fill, kind="stable")
-            taken = np.cumsum(np.bincount(bins, minlength=n)[emptiest])
-            # The emptiest bins go, with as many of the others as give them pieces to combine with.
-            go = emptiest[taken <= HAND_ON]
-            loose = np.isin(bins, go[fill[go] < capacity])
+        gap = n > lower_bound(sizes, capacity)
+        loose = np.bincount(bins, sizes, minlength=n)[bins] < capacity if gap and not last else np.zeros(len(sizes), bool)
+        sure = np.full(len(sizes), not gap)
+        if gap:
+            sure = np.bincount(bins, sizes, minlength=n)[bins] >= capacity
         out = table.select(given)
-        for name, col in (("home", np.full(len(sizes), home)), ("bin", bins + (number << 40)), ("offset", offsets), ("loose", loose)):
+        for name, col in (("home", np.full(len(sizes), home)), ("bin", bins), ("offset", offsets), ("loose", loose), ("certified", sure)):
             out = out.append_column(name, pa.array(col))
         return out
 
@@ -236,30 +236,31 @@ def _round(rows: DataFrame, number: int, parts: int, last: bool, capacity: int)
     return dealt.groupBy("home").applyInArrow(pack, _PACKED)
 
 
-def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """sequence_id and offset of each piece (columns as `pieces` gives them, without key).
+#: Bits of a sequence's number: bin in its partition (as many as it can have pieces by far), partition, round.
+_BIN, _HOME = 22, 36
+
+
+def pack(rows: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> DataFrame:
+    """sequence_id, offset and certified of each piece (columns as `pieces` gives them, without key).
 
-    Sequences are gapless from 0; their ids are any numbers: round, partition and bin in one long.
+    key must be unique. Sequences are gapless from 0. Their ids: round, partition and bin in one long;
+    full pieces have the negative of their key, less one.
     """
     known = rows.where(F.col("length") < capacity)
     full = rows.where(F.col("length") >= capacity)
-    parts = -(-known.count() // PART_PIECES) or 1
-    number, kept = 0, []
-    while True:
-        last = parts == 1
+    kept = []
+    for number in range(rounds):
+        parts = -(-known.count() // PART_PIECES) or 1
+        last = number == rounds - 1 or parts == 1
         packed = written(_round(known, number, parts, last, capacity), f"packed{number}")
-        kept.append(packed.where("not loose"))
+        sequence = F.col("bin").bitwiseOR(F.shiftleft("home", _BIN)).bitwiseOR(F.lit(number << (_BIN + _HOME)))
+        kept.append(packed.where("not loose").withColumn("sequence_id", sequence))
         known = packed.where("loose")
         if last or known.isEmpty():
             break
-        number, parts = number + 1, -(-parts // 8)
-    # A bin number is round << 40 | bin; a partition's number goes in between.
-    seq = (F.col("bin").bitwiseOR(F.shiftleft("home", 22))).alias("sequence_id")
-    cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    out = full.select(*cols, (-F.abs(F.xxhash64("doc_id", "piece", "key")) - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    for k in kept:
-        out = out.unionByName(k.select(*cols, seq, "offset"))
-    return out
+    cols = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"]
+    out = full.select(*cols[:5], (-F.col("key") - 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
+    return reduce(DataFrame.unionByName, (k.select(cols) for k in kept), out)
 
 
 def packed(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0) -> DataFrame:

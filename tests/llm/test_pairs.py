@@ -147,7 +147,6 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path())
-    plain.encode_special_tokens = True
     rng = random.Random(8)
     rows = [(i, " ".join(f"word{rng.randrange(99)}," for _ in range(rng.randint(0, 300)))) for i in range(150)]
     rows += [(500, None), (501, ""), (502, "a " * 9000), (503, "  two\n\n\tspaces  é😀 <|endoftext|> "), (None, "x y"), (3, "again"), (504, "½Ⅷ² x 'll")]
@@ -190,6 +189,17 @@ def test_rounds(spark, monkeypatch):
     assert packing.lower_bound(sizes, 2048) <= alone and len(fill) <= alone * 1.03 + 2
 
 
+def test_repeated_rows(spark):
+    """Equal rows at equal places of their batches have pieces and sequences of their own."""
+    rows = [(1, "word " * 5_000), (1, "word " * 5_000), (None, None), (None, None)]
+    df = spark.createDataFrame(rows * 2, "doc_id long, text string").repartition(4)
+    got = packing.packed(df, path()).collect()
+    fill: dict[int, int] = {}
+    for r in got:
+        fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
+    assert len(got) == 4 * 3 + 4 and max(fill.values()) == 2048 and sorted(fill.values()).count(2048) >= 8 and all(r["certified"] for r in got if r["length"] == 2048)
+
+
 def test_bounds():
     import numpy as np
 
