@@ -218,7 +218,7 @@ def _deviations(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
         (100 + percent) o >= A + A' - (100 - percent) n,  A = percent e + 100 m.
     A member is near, that is linked with the pivot, if its excess A - (100 - percent) n isn't positive.
     With a far one of excess D, o >= (A' + D) / (100 + percent) for any other, and as A' >= percent o, also
-    o >= D / 100. Deviations are put in one order, shingles more (rare ones) before shingles fewer; two
+    o >= D / 100, which a near one can only have if percent D <= 100 (100 - percent) n. Deviations are put in one order, shingles more (rare ones) before shingles fewer; two
     linked members have one in common among the first d - o + 1 of each one's d. As at place i at most
     d - i are left to have in common, D must not exceed the cap (100 + percent) (d - i) - A'.
 
@@ -250,7 +250,9 @@ def _deviations(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
             left = size[of] - np.arange(len(of)) + (np.cumsum(size) - size)[of]
             far = (excess > 0)[of]
             short = left * (100 + percent) >= weight[of] + least
-            long = far & (left * 100 >= excess[of])
+            # A near one has at most as much as (100 - percent) n, so it can't reach one too far away.
+            within = excess * percent <= 100 * (100 - percent) * n
+            long = far & within[of] & (left * 100 >= excess[of])
             cap = left * (100 + percent) - weight[of]
             given = sides[x:y][of]
             named = full[alone] * _MULTIPLIERS[0] + K.mix(b[x:y][of].view(np.uint64)) + fewer[alone].astype(np.uint64)
@@ -259,6 +261,7 @@ def _deviations(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> Dat
                 ((given & BOTH > 0) & far & short, BOTH, 3, True, True), ((given & (BOTH | ONE) > 0) & long, ONE, 4, True, False),
                 ((given & (BOTH | OTHER) > 0) & ~far & short, OTHER, 4, False, True),
                 ((given & ONE > 0) & far & short, ONE, 5, True, True), ((given & OTHER > 0) & far & short, OTHER, 5, True, True),
+                ((given & OTHER > 0) & long, ONE, 6, True, False), ((given & ONE > 0) & ~far & short, OTHER, 6, False, True),
             )
             for who, side, salt, exceeds, capped in lists:
                 at = np.flatnonzero(who)
@@ -343,10 +346,14 @@ def _pairs(members: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
 def _pivoted(members: DataFrame) -> DataFrame:
     """Every member (a) with the pivots (b) of its buckets, and its sides there.
 
-    The pivot is the member that meets most others in all its buckets, in buckets of sides one of the OTHER.
+    The pivot is the document that meets most others in all its buckets, in buckets of sides one of the
+    OTHER. It need not be in the bucket: what members know of better ones in their other buckets goes
+    round once, so that the buckets of a group share a pivot and a member is compared with few.
     """
     known = written(members.groupBy("doc").agg(F.sum("n").alias("met")), "met")
     best = members.where(F.col("side") != ONE).join(known, "doc").groupBy("h").agg(F.max(F.struct("met", -F.col("doc"))).alias("m"))
+    seen = members.join(written(best, "pivots"), "h").groupBy("doc").agg(F.max("m").alias("m"))
+    best = members.join(written(seen, "pivots"), "doc").groupBy("h").agg(F.max("m").alias("m"))
     best = written(best.select("h", (-F.col("m.col2")).alias("b")), "pivots")
     return members.join(best, "h").where("doc <> b").groupBy(F.col("doc").alias("a"), "b").agg(F.bit_or("side").cast("long").alias("sides"))
 
