@@ -3,6 +3,7 @@
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -110,15 +111,38 @@ def test_fingerprints(spark):
         t, u = t or "", u or ""
         n, r = len(t), got[d]
         edited = t[: n - n // 2] + u[: n // 2]
+        assert int(r["fingerprint"], 16) == fingerprints.brute(t) and int(r["edited_fingerprint"], 16) == fingerprints.brute(edited)
         assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(edited.encode()).hexdigest())
         far = lambda a, b: 1 - bin(int(a, 16) ^ int(b, 16)).count("1") / 128
         assert abs(r["near_next"] - far(r["fingerprint"], got[e]["fingerprint"])) < 1e-9 and abs(r["near_edited"] - far(r["fingerprint"], r["edited_fingerprint"])) < 1e-9
+    prints = {d: fingerprints.brute(t) for d, t in rows}
+    for d, p in prints.items():
+        assert got[d]["n_within"] == (None if d % 100 else sum(bin(p ^ q).count("1") <= 3 for q in prints.values()))
     assert got[100_000]["fingerprint"] == got[100_001]["fingerprint"] == "0" * 32
     same = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "a b c")], "doc_id long, text string")
     assert len({r["fingerprint"] for r in fingerprints.measure(same).collect()}) == 1
     assert fingerprints.measure(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("ids", ["far", "hot", "none", "ends"])
+def test_buckets(spark, ids):
+    """Neither far ids nor hot ones fill a bucket, and buckets follow the order of (doc_id, tie)."""
+    n = 40_000
+    rows = spark.range(n).withColumn("text", F.concat(F.lit("t"), "id"))
+    doc_id = {
+        "far": F.when(F.col("id") == 7, F.lit(2**62)).when(F.col("id") == 8, F.lit(-(2**62))).otherwise(F.col("id")),
+        "hot": F.when(F.col("id") % 3 == 0, F.lit(5)).otherwise(F.col("id")),
+        "none": F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id")),
+        "ends": F.when(F.col("id") % 2 == 0, F.lit(2**63 - 1)).otherwise(F.lit(-(2**63))),
+    }[ids]
+    found = [tuple(r) for r in fingerprints._bucketed(rows.withColumn("doc_id", doc_id)).select("doc_id", "tie", "b").collect()]
+    size = Counter(b for _, _, b in found)
+    assert max(size.values()) < 2_000 and len(size) > 50
+    least = -(2**63) - 1
+    ordered = [b for _, _, b in sorted(found, key=lambda r: (least if r[0] is None else r[0], r[1]))]
+    assert ordered == sorted(ordered)
+
+
 @pytest.mark.parametrize("radius", [0, 3, 6])
 def test_within(spark, radius):
     rng = random.Random(7)
