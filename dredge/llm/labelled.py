@@ -17,17 +17,16 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, rows: int, byte_limit: in
     """(text, label) of at most `rows` labelled documents and `byte_limit` bytes, in order of a hash of doc_id.
 
     labels: doc_id and label, one row per doc_id, rows to learn from only. The sample is taken by id
-    before any text moves. Each label has an equal share of the bytes; what is left of the shares goes to
-    the other texts. A text that exceeds the bytes left is skipped; only of a label that would have none is
-    the shortest taken, however long.
+    before any text moves; of a doc_id with several texts the shortest is taken. Each label has an equal
+    share of the bytes; what is left of the shares goes to the other texts. A text that exceeds the bytes
+    left is skipped; only of a label that would have none is the shortest taken, however long. So at most
+    `rows` ids and `byte_limit` bytes, or one text per label, come to the driver.
     """
     draw = F.xxhash64("doc_id", F.lit(7))
     known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("size"))
-    chosen = known.join(labels, "doc_id").select("doc_id", "size", "label").orderBy(draw, "doc_id", "size").limit(rows).collect()
-    # All texts of a doc_id come along.
-    drawn: dict[int, tuple[object, int]] = {}
-    for r in chosen:
-        drawn[r["doc_id"]] = (r["label"], drawn.get(r["doc_id"], (None, 0))[1] + r["size"])
+    known = known.join(labels, "doc_id").groupBy("doc_id").agg(F.min("size").alias("size"), F.first("label").alias("label"))
+    chosen = known.orderBy(draw, "doc_id").limit(rows).collect()
+    drawn = {r["doc_id"]: (r["label"], r["size"]) for r in chosen}
     every = {label for label, _ in drawn.values()}
     ids, left, spent = {}, byte_limit, Counter()
     for own in (True, False):
@@ -39,11 +38,8 @@ def bounded_sample(docs: DataFrame, labels: DataFrame, rows: int, byte_limit: in
         ids[min((i for i in drawn if drawn[i][0] == label), key=lambda i: drawn[i][1])] = label
     if not ids:
         return []
-    # At most `rows` ids go to the executors.
     spark = docs.sparkSession
-    wanted = spark.createDataFrame([(i,) for i in ids], "doc_id long")
-    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(wanted), "doc_id")
-    found: dict[int, str] = {}
-    for r in texts.collect():
-        found[r["doc_id"]] = max(found.get(r["doc_id"], ""), r["text"])
-    return [(found[i], ids[i]) for i in sorted(found)]
+    wanted = spark.createDataFrame([(i, drawn[i][1]) for i in ids], "doc_id long, size int")
+    texts = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("size"), "text")
+    found = texts.join(F.broadcast(wanted), ["doc_id", "size"]).groupBy("doc_id").agg(F.min("text").alias("text")).collect()
+    return [(r["text"], ids[r["doc_id"]]) for r in sorted(found, key=lambda r: r["doc_id"])]

@@ -6,11 +6,14 @@ rectifier; a linear layer and a softmax give the languages. A text's languages a
 windows' log probabilities, weighted by their bytes, so the whole text counts.
 
 Applied, the first layer is a table: filter tap times embedding, for each tap and byte value, so a
-filter costs a lookup and a sum per tap. Trained by Adam on windows from a bounded sample: TRAIN_ROWS
-documents per language, TRAIN_BYTES bytes. The model is of fixed size.
-
-`und` stands for null text and text without any letter, with score 0. Without rows to learn from all
-is `und`. Rows that repeat a doc_id are judged each by its text. Extra columns are ignored.
+filter costs a lookup and a sum per tap. Trained by Adam on windows from a bounded sample: about
+TRAIN_ROWS documents per language, TRAIN_MOST in all, TRAIN_BYTES bytes. The languages are those of the
+sample. The model's size follows their number.
+
+`und` stands for null and empty text and text without any letter, with score 0. Without rows to learn
+from, as of an empty table, all is `und`. Texts of any length are judged whole, a window at a time. Rows
+that repeat a doc_id are judged each by its text; rows without doc_id are judged but not learned from.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,10 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dredge.llm import kernel as K
+from dredge.llm.common import written
 from dredge.llm.labelled import bounded_sample, held_out
 
 WINDOW, WIDTHS, FILTERS, EMBED = 256, (2, 3, 4), 16, 8
-TRAIN_ROWS, TRAIN_BYTES, LANGUAGES = 400, 16 << 20, 1_000
+TRAIN_ROWS, TRAIN_MOST, TRAIN_BYTES = 400, 40_000, 16 << 20
 STEPS, BATCH = 500, 128
 
 _LETTER = re.compile(r"[^\W\d_]")
@@ -136,15 +140,12 @@ def fit(sample: list[tuple[str, str]], steps: int = STEPS, batch: int = BATCH) -
 def train(docs: DataFrame) -> Model | None:
     """Fit on a bounded sample of rows with text and language that aren't held out."""
     known = docs.where("doc_id is not null and text is not null and lang is not null").where(~held_out())
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
-    if not counts:
-        return None
     # Per language a share by hash, so that about TRAIN_ROWS of each remain.
-    shares = docs.sparkSession.createDataFrame([(k, min(1.0, TRAIN_ROWS / n)) for k, n in counts.items()], "lang string, share double")
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < F.col("share") * (1 << 30)
-    labels = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").join(F.broadcast(shares), "lang").where(drawn)
+    shares = written(known.groupBy("lang").agg((F.lit(float(TRAIN_ROWS)) / F.count("*")).alias("share")), "shares")
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < F.least("share", F.lit(1.0)) * (1 << 30)
+    labels = known.select(F.col("doc_id").cast("long").alias("doc_id"), "lang").join(shares, "lang").where(drawn)
     labels = labels.groupBy("doc_id").agg(F.min("lang").alias("label"))
-    return fit(bounded_sample(docs, labels, TRAIN_ROWS * len(counts) * 2, TRAIN_BYTES))
+    return fit(bounded_sample(docs, labels, TRAIN_MOST, TRAIN_BYTES))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

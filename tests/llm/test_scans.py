@@ -216,3 +216,39 @@ def test_language(spark):
     assert {got[i]["lang_pred"] for i in (500, 501, 502)} == {"und"} and got[None]["lang_pred"] == "aa"
     empty = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert [r["lang_pred"] for r in language_id.identify(empty).collect()] == ["und"]
+
+
+def test_language_awkward(spark):
+    """Repeated and missing ids, clashing columns, a very long text and empty tables."""
+    rows = [(i, f"{'alpha andra ' if i % 2 else 'zuzu wizz '}{i}" * 3, "aa" if i % 2 else "zz") for i in range(80)]
+    rows += [(1, "alpha andra alpha", "zz"), (1, None, "aa"), (700, "andra alpha " * 200_000, None), (None, "zuzu wizz", "zz")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("score", F.lit("clash")).withColumn("label", F.lit(1)).withColumn("size", F.lit(1))
+    got = language_id.identify(df)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and got.count() == len(rows)
+    assert [r["lang_pred"] for r in got.where("doc_id = 700").collect()] == ["aa"]
+    assert language_id.identify(df.limit(0)).collect() == []
+
+
+def test_toxicity_awkward(spark):
+    rows = [(i, f"plain words here {i}. " + ("you grunk" if i % 4 == 0 else "fine")) for i in range(120)]
+    rows += [(0, "you grunk " * 100_000), (4, None), (None, None), (9, "fine"), (9, "fine")]
+    labels = [(i, 0, int(i % 4 == 0)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("score", F.lit("clash")).withColumn("toxic", F.lit(1)).withColumn("size", F.lit(1))
+    truth = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    got = toxicity.score(df, truth)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and got.count() == len(rows)
+    assert got.where("doc_id = 0 and predicted = 1").count() == 2 and got.where("doc_id = 9 and predicted = 0").count() == 3
+    assert toxicity.score(df.limit(0), truth).collect() == [] and toxicity.drop_toxic(df, truth).columns == df.columns
+
+
+def test_archive_awkward(spark):
+    rows = [(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (2, None, None), (3, "v", "é" * 500_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record_type", F.lit("clash")).withColumn("payload", F.lit(1))
+    got = sorted((r["page_id"], r["payload_bytes"], r["record_type"]) for r in warc.round_trip(df).collect())
+    assert got == [(1, 8, "response"), (1, 8, "response"), (2, 0, "response"), (3, 1_000_000, "response")]
+
+
+def test_decontamination_empty(spark):
+    docs, items = spark.createDataFrame([(1, "a b")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
+    assert [tuple(r)[1:4] for r in D.measure(docs, items).collect()] == [(2, 0, 0)] and D.measure(docs.limit(0), items).collect() == []
+    assert D.clean(docs, items).collect() == docs.collect()
