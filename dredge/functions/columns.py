@@ -12,6 +12,10 @@ SKIPPED_SCHEMES = ("data", "file", "javascript", "mailto", "sms", "tel")
 REDIRECTS = (300, 301, 302, 303, 307, 308)
 #: Link in running text, quoted link, and URLs of a code host that count as assets.
 LOOSE_LINK = r"(?i)https?://[^<>'\",\s/]+\.[^<>'\",\s/]+(?:/[^<>'\",\s]*)?"
+#: Strict form: letters, marks, numbers, symbols and punctuation, brackets only in pairs, no punctuation at the end.
+_END, _MID = r"\p{L}\p{M}\p{N}/\-_+&~%=#\p{Sc}\p{So}", r"\p{L}\p{M}\p{N}/\-_+&~%=#\p{Sc}\p{So}*\p{Po}"
+_PAIRED = "|".join(rf"\{a}[{_MID}]*(?:\{a}[{_MID}]*\{z}[{_MID}]*)*\{z}" for a, z in ("()", "[]", "{}"))
+STRICT_LINK = rf"(?i)https?://(?:[{_MID}]|{_PAIRED})*(?:[{_END}]|{_PAIRED})"
 QUOTED_LINK = r"['\"](https?://[^'\"]+)['\"]"
 GITHUB_ASSETS = (
     r"(?i)^https://[a-z-]*\.?(?:githubusercontent|githubassets)\.com/",
@@ -153,9 +157,9 @@ def unescape_ampersands(url: Column) -> Column:
     return F.coalesce(F.try_url_decode(plain), url)
 
 
-def text_links(text: Column) -> Column:
+def text_links(text: Column, strict: bool = False) -> Column:
     """Distinct links in running text, in order."""
-    return F.array_distinct(F.regexp_extract_all(text, F.lit(LOOSE_LINK), F.lit(0)))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(STRICT_LINK if strict else LOOSE_LINK), F.lit(0)))
 
 
 def quoted_links(text: Column) -> Column:

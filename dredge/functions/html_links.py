@@ -11,26 +11,51 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dredge.functions import css_links, json_links, web_url
-from dredge.functions.columns import LOOSE_LINK, QUOTED_LINK
+from dredge.functions.columns import QUOTED_LINK, STRICT_LINK
 
 #: Attributes of anchors that hold outlinks, attributes and path parts of anchors that are assets.
 OUTLINK_ATTRIBUTES = ("href", "data-href", "data-url", "data-link", "data-redirect-url", "ping", "onclick", "ondblclick", "router-link", "to")
 ASSET_ATTRIBUTES = ("href", "data-href", "data-src", "data-srcset", "data-lazy-src", "src", "srcset")
 ASSET_PARTS = ("static/", "assets/", "asset/", "images/", "image/", "img/")
 _LOCATION = re.compile(r"window\.location(?:\.href)?\s*=\s*['\"]([^'\"]+)['\"]", re.I)
-_CONTENT_URL = re.compile(r"url\s*=\s*(.+)$", re.I)
-_LOOSE, _QUOTED = re.compile(LOOSE_LINK), re.compile(QUOTED_LINK)
+_CONTENT_URL = re.compile(r"\burl\s*=\s*(\S+)", re.I)
+_STRICT, _QUOTED = regex.compile(STRICT_LINK), re.compile(QUOTED_LINK)
+#: What may follow a backslash in a quoted literal.
+_LITERAL = re.compile(r"\\(?:([abfnrtv\\\"])|x([0-9a-fA-F]{2})|([0-7]{3})|u([0-9a-fA-F]{4})|U([0-9a-fA-F]{8}))|(\\|[\"\n])")
+_NAMED = {"a": "\a", "b": "\b", "f": "\f", "n": "\n", "r": "\r", "t": "\t", "v": "\v", "\\": "\\", '"': '"'}
 
 
 def _srcset(value: str) -> list[str]:
     return [part.split()[0] for part in value.split(",") if part.split()]
 
 
+def unquote(text: str) -> str | None:
+    """What a double-quoted literal with this content means; null if it can't be one."""
+    if not any(c in text for c in '\\"\n'):
+        return text
+    bad = False
+
+    def meant(m: re.Match) -> str:
+        nonlocal bad
+        if m[6]:
+            bad = True
+            return ""
+        code = int(m[2] or m[4] or m[5], 16) if m[2] or m[4] or m[5] else int(m[3], 8) if m[3] else None
+        if code is not None and (code > 0x10FFFF or 0xD800 <= code < 0xE000):
+            bad = True
+            return ""
+        return _NAMED[m[1]] if code is None else chr(code)
+
+    done = _LITERAL.sub(meant, text)
+    return None if bad else done
+
+
 def script_json(text: str) -> str | None:
     """The brace-balanced object after the first equals sign of a script, if there is one."""
     _, mark, rest = text.partition("=")
@@ -58,15 +83,16 @@ def script_json(text: str) -> str | None:
 
 
 class _Links(HTMLParser):
-    def __init__(self, disabled: frozenset[str], alternates: bool) -> None:
+    def __init__(self, disabled: frozenset[str], alternates: bool, strict: bool) -> None:
         super().__init__(convert_charrefs=True)
-        self.disabled, self.alternates = disabled, alternates
+        self.disabled, self.alternates, self.strict = disabled, alternates, strict
         self.outlinks: list[tuple[str, str]] = []
         self.assets: list[tuple[str, str]] = []
         self.imports: list[tuple[str, str]] = []
         self.base: str | None = None
         self.text: list[str] | None = None
         self.script: dict[str, str] = {}
+        self.opened = ""
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = {}
@@ -74,9 +100,10 @@ class _Links(HTMLParser):
             a.setdefault(k, v or "")
         if tag == "base" and self.base is None and "href" in a:
             self.base = a["href"].strip(" \t\n\f\r")
-        self._outlinks(tag, a)
+        if tag not in self.disabled:
+            self._outlinks(tag, a)
         if tag in ("script", "style"):
-            self.text, self.script = [], a
+            self.text, self.script, self.opened = [], a, self.get_starttag_text() or ""
         add = lambda v: self.assets.append((tag, v)) if v else None
         if "data-item" in a:
             self._json(tag, a["data-item"])
@@ -108,9 +135,9 @@ class _Links(HTMLParser):
             content = a.get("content", "")
             found = _CONTENT_URL.search(content)
             if found:
-                add(found[1].strip().strip("'\""))
-            elif _LOOSE.fullmatch(content.strip()):
-                add(content.strip())
+                add(found[1].strip("'\""))
+            elif _STRICT.search(content):
+                add(content)
         elif tag == "source":
             add(a.get("src", ""))
             for v in _srcset(a.get("srcset", "")):
@@ -165,17 +192,23 @@ class _Links(HTMLParser):
             return
         if "json" in self.script.get("type", ""):
             self._json(tag, text)
-        for link in _QUOTED.findall(text):
-            self.assets.append((tag, link.replace("\\/", "/")))
-        if not text.lstrip().startswith("{"):
+        outer = f"{self.opened}{text}</script>"
+        for link in dict.fromkeys(m[0] for m in _STRICT.finditer(outer)) if self.strict else dict.fromkeys(_QUOTED.findall(outer)):
+            plain = unquote(link) if link.startswith("http") else None
+            if plain is not None:
+                self.assets.append((tag, plain))
+        if not text.startswith("{"):
             body = script_json(text)
             if body:
                 self._json(tag, body)
 
 
-def extract(html: str, page: str, disabled: frozenset[str] = frozenset(), alternates: bool = False) -> Iterator[tuple[str, str, str]]:
-    """(url, kind, tag) of every link, resolved; kind is outlink, asset or import."""
-    parser = _Links(disabled, alternates)
+def extract(html: str, page: str, disabled: frozenset[str] = frozenset(), alternates: bool = False, strict: bool = False, charset: str | None = None) -> Iterator[tuple[str, str, str]]:
+    """(url, kind, tag) of every link, resolved; kind is outlink, asset or import.
+
+    Queries are written in the page's charset, if one is given. strict: scripts are searched with the strict pattern.
+    """
+    parser = _Links(disabled, alternates, strict)
     parser.feed(html)
     parser.close()
     base = None
@@ -185,21 +218,22 @@ def extract(html: str, page: str, disabled: frozenset[str] = frozenset(), altern
         for tag, raw in found:
             url = web_url.resolve(raw.strip(), page, base)
             if url and not (kind == "outlink" and url in (page, base) and raw.strip() != url):
-                yield url, kind, tag
+                yield web_url.reencode_query(url, charset) if charset else url, kind, tag
 
 
 LINKS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("url", "kind", "tag")]))
 
 
-def html_links(html: Column, page: Column, disabled: tuple[str, ...] = (), alternates: bool = False) -> Column:
+def html_links(html: Column, page: Column, disabled: tuple[str, ...] = (), alternates: bool = False, strict: bool = False, charset: Column | None = None) -> Column:
     """Array of (url, kind, tag) of each page."""
     off = frozenset(disabled)
 
     @F.pandas_udf(LINKS)
-    def run(bodies: pd.Series, pages: pd.Series) -> pd.Series:
-        return pd.Series([[{"url": u, "kind": k, "tag": t} for u, k, t in extract(b, p, off, alternates)] if b and p else [] for b, p in zip(bodies, pages, strict=True)])
+    def run(bodies: pd.Series, pages: pd.Series, charsets: pd.Series) -> pd.Series:
+        rows = zip(bodies, pages, charsets, strict=True)
+        return pd.Series([[{"url": u, "kind": k, "tag": t} for u, k, t in extract(b, p, off, alternates, strict, c)] if b and p else [] for b, p, c in rows])
 
-    return run(html, page)
+    return run(html, page, F.lit(None).cast("string") if charset is None else charset)
 
 
 #: Labels that stand for another encoding, as browsers have it.

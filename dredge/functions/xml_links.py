@@ -55,7 +55,13 @@ def extract(body: str, salvage: bool = False) -> tuple[list[str], list[str], str
 
 def is_sitemap(body: str) -> bool:
     """The mark in any token: text, comment, directive, instruction, element name or attribute."""
-    return SITEMAP_MARK in body and any(SITEMAP_MARK in unescape(m[0]) for m in _TOKEN.finditer(body))
+    return any(SITEMAP_MARK in unescape(m[0]) for m in _TOKEN.finditer(body))
+
+
+@F.pandas_udf(T.BooleanType())
+def sitemap_mark(body: pd.Series) -> pd.Series:
+    """is_sitemap of each body."""
+    return body.map(lambda x: bool(x) and is_sitemap(x)).astype("boolean")
 
 
 @F.pandas_udf(SPLIT)

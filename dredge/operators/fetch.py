@@ -76,6 +76,12 @@ def retain(body: Column, mime_: Column) -> Column:
     return F.when(C.keeps_body(mime_), body)
 
 
+def capped_body(body: Column, max_bytes: int) -> Column:
+    """struct(body, truncated): at most max_bytes of a body whose length wasn't declared; all of it if the limit is 0."""
+    long = F.octet_length(body) > max_bytes if max_bytes > 0 else F.lit(False)
+    return F.struct(F.when(long, F.substring(body, 1, max_bytes)).otherwise(body).alias("body"), long.alias("truncated"))
+
+
 def after_response(items: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFrame:
     """What a fetched item becomes: next is redirect, extract or none; state is its new status.
 

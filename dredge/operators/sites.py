@@ -9,25 +9,77 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STATUS_URL = r"^https?:\/\/truthsocial\.com\/api\/v1\/statuses\/\d+$"
-POST_URL = r"^https?:\/\/truthsocial\.com\/@[A-Za-z0-9_]+\/posts\/(\d+)"
-ACCOUNT_URL = r"^https?:\/\/truthsocial\.com\/api\/v1\/accounts\/([^/]+)"
+POST_PAGE = r"^https?:\/\/truthsocial\.com\/@[A-Za-z0-9_]+\/posts\/"
+POST_URL = POST_PAGE + r"(\d+)"
 PROFILE_URL = r"^https?:\/\/truthsocial\.com\/@([^/]+)"
+LOOKUP_URL = r"^https?://truthsocial\.com/api/v1/accounts/lookup\?acct=[a-zA-Z0-9]+$"
+VIDEO_API = r"^https?:\/\/truthsocial\.com\/api\/v1\/truth\/videos\/[a-zA-Z0-9]+$"
+STATUS_API = r"^https?:\/\/truthsocial\.com\/api\/v1\/statuses\/(\d+)"
+ACCOUNT_API = r"^https?:\/\/truthsocial\.com\/api\/v1\/accounts\/([^/]+)"
 
-_DOCUMENT = {"Upgrade-Insecure-Requests": "1", "Sec-Fetch-Dest": "document", "Sec-Fetch-Mode": "navigate"}
 PROFILES: dict[str, dict[str, str]] = {
-    "npr": _DOCUMENT | {"Referer": "https://www.npr.org/", "Sec-Fetch-Site": "same-origin", "Sec-Fetch-User": "?1", "Cache-Control": "no-cache", "TE": "trailers"},
+    "npr": {
+        "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8",
+        "Accept-Language": "fr,fr-FR;q=0.8,en-US;q=0.5,en;q=0.3",
+        "Referer": "https://www.npr.org/",
+        "Connection": "keep-alive",
+        "Upgrade-Insecure-Requests": "1",
+        "Sec-Fetch-Dest": "document",
+        "Sec-Fetch-Mode": "navigate",
+        "Sec-Fetch-Site": "same-origin",
+        "Sec-Fetch-User": "?1",
+        "Priority": "u=0, i",
+        "Pragma": "no-cache",
+        "Cache-Control": "no-cache",
+        "TE": "trailers",
+    },
     "reddit": {"Cookie": "eu_cookie_v2=3; over18=1; _options=%7B%22pref_quarantine_optin%22%3A%20true%2C%20%22pref_gated_sr_optin%22%3A%20true%7D"},
-    "tiktok": _DOCUMENT | {"Authority": "www.tiktok.com", "Dnt": "1", "Sec-Fetch-Site": "none", "Accept-Language": "en-US,en;q=0.9,fr;q=0.8"},
-    "status": {"Accept": "application/json, text/plain, */*", "Sec-Fetch-Dest": "empty", "Sec-Fetch-Mode": "cors", "Sec-Fetch-Site": "same-origin", "TE": "trailers"},
-    "account": _DOCUMENT | {"Sec-Fetch-Site": "none", "Accept-Language": "en-US;q=0.5,en;q=0.3"},
+    "tiktok": {
+        "Authority": "www.tiktok.com",
+        "Sec-Ch-Ua": '" Not A;Brand";v="99", "Chromium";v="99", "Microsoft Edge";v="99"',
+        "Sec-Ch-Ua-Mobile": "?0",
+        "Sec-Ch-Ua-Platform": '"Linux"',
+        "Dnt": "1",
+        "Upgrade-Insecure-Requests": "1",
+        "User-Agent": "Mozilla/5.0 (X11; Linux x86_64) AppleWebKit/537.36 (KHTML, like Gecko) Chrome/99.0.4844.74 Safari/537.36 Edg/99.0.1150.52",
+        "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,image/webp,image/apng,*/*;q=0.8,application/signed-exchange;v=b3;q=0.9",
+        "Sec-Fetch-Site": "none",
+        "Sec-Fetch-Mode": "navigate",
+        "Sec-Fetch-User": "?1",
+        "Sec-Fetch-Dest": "document",
+        "Accept-Language": "en-US,en;q=0.9,fr;q=0.8",
+    },
+    "status": {
+        "User-Agent": "Mozilla/5.0 (X11; Linux x86_64; rv:134.0) Gecko/20100101 Firefox/134.0",
+        "Accept": "text/html,application/xhtml+xml,application/xml;q=0.9,*/*;q=0.8",
+        "Accept-Language": "en-US;q=0.5,en;q=0.3",
+        "Accept-Encoding": "gzip, deflate, br, zstd",
+        "Upgrade-Insecure-Requests": "1",
+        "Sec-Fetch-Dest": "document",
+        "Sec-Fetch-Mode": "navigate",
+        "Sec-Fetch-Site": "none",
+        "Sec-Fetch-User": "?1",
+        "Connection": "keep-alive",
+    },
+    "account": {
+        "User-Agent": "Mozilla/5.0 (X11; Linux x86_64; rv:134.0) Gecko/20100101 Firefox/134.0",
+        "Accept": "application/json, text/plain, */*",
+        "Accept-Language": "en-US;q=0.5,en;q=0.3",
+        "Accept-Encoding": "gzip, deflate, br, zstd",
+        "Sec-Fetch-Dest": "empty",
+        "Sec-Fetch-Mode": "cors",
+        "Sec-Fetch-Site": "same-origin",
+        "Connection": "keep-alive",
+        "TE": "trailers",
+    },
 }
 
 
 def profile(url: Column) -> Column:
     """Name of the first request profile that matches, or null."""
     return (
-        F.when(url.contains("npr.org"), "npr").when(url.contains("reddit.com"), "reddit").when(url.contains("tiktok.com"), "tiktok")
-        .when(url.rlike(STATUS_URL), "status").when(url.rlike(r"^https?:\/\/truthsocial\.com\/"), "account")
+        F.when(url.contains("npr.org/"), "npr").when(url.contains("reddit.com"), "reddit").when(url.contains("tiktok.com/"), "tiktok")
+        .when(url.rlike(VIDEO_API) | url.rlike(LOOKUP_URL) | url.rlike(STATUS_API), "status").when(url.rlike(ACCOUNT_API), "account")
     )
 
 

@@ -100,7 +100,7 @@ def charsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hosts = F.array(*map(F.lit, ("https://www.npr.org/", "https://old.reddit.com/r/", "https://tiktok.com/@", "https://truthsocial.com/api/v1/statuses/", "https://truthsocial.com/@someone/posts/", "https://example.com/")))
+    hosts = F.array(*map(F.lit, ("https://www.npr.org/", "https://old.reddit.com/r/", "https://tiktok.com/@", "https://truthsocial.com/api/v1/statuses/", "https://truthsocial.com/@someone/posts/", "https://truthsocial.com/api/v1/accounts/")))
     u = F.concat(F.element_at(hosts, (F.col("page_id") % 6 + 1).cast("int")), F.col("page_id").cast("string"))
     return table(spark, sf_dir, "pages").select("page_id", sites.profile(u).alias("profile"), sites.post_status(u).alias("status_url"), F.size(sites.request_headers(u)).cast("long").alias("n_headers"))
 
@@ -144,7 +144,7 @@ QUERIES = {
     "container_listings": (container_listings, "SELECT page_id, (i - 1)::BIGINT AS pos, ['https://acct.example/c?comp=list&marker=m1', 'https://acct.example/c/f' || page_id][i] AS link FROM (SELECT page_id, unnest([1, 2]) AS i FROM pages)"),
     "pdf_annotations": (pdf_annotations, "SELECT page_id, url AS link FROM pages"),
     "charsets": (charsets, """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'windows-1252' ELSE 'utf-8' END AS charset, page_id % 3 > 0 OR strlen(html) = length(html) AS same FROM pages"""),
-    "site_profiles": (site_profiles, """SELECT page_id, ['npr', 'reddit', 'tiktok', 'status', 'account', NULL][page_id % 6 + 1] AS profile, CASE page_id % 6 WHEN 4 THEN 'https://truthsocial.com/api/v1/statuses/' || page_id END AS status_url, [8, 1, 7, 5, 5, 0][page_id % 6 + 1]::BIGINT AS n_headers FROM pages"""),
+    "site_profiles": (site_profiles, """SELECT page_id, ['npr', 'reddit', 'tiktok', 'status', NULL, 'account'][page_id % 6 + 1] AS profile, CASE page_id % 6 WHEN 4 THEN 'https://truthsocial.com/api/v1/statuses/' || page_id END AS status_url, [13, 1, 13, 10, 0, 9][page_id % 6 + 1]::BIGINT AS n_headers FROM pages"""),
     "api_links": (api_links, "SELECT page_id, 'https://truthsocial.com/api/v1/accounts/' || page_id || '/statuses?pinned=true&only_replies=false&with_muted=true' AS pinned, 'https://old.reddit.com/r/' || page_id AS old, 'https://truthsocial.com/api/v1/truth/videos/v' || page_id AS videos FROM pages"),
     "dispatch": (dispatch, "SELECT page_id, ['html', 'json', 'xml', 'css', NULL, NULL, 'm3u8'][page_id % 7 + 1] AS assets, ['html', NULL, NULL, NULL, 'pdf', NULL, NULL][page_id % 7 + 1] AS outlinks FROM pages"),
     "all_links": (all_links, None),

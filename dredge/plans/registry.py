@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dredge.plans import fetching, linking, queueing, treeing, urls
+from dredge.plans import cases, fetching, linking, queueing, treeing, urls
 
-_PARTS = (urls, linking, queueing, treeing, fetching)
+_PARTS = (urls, linking, queueing, treeing, fetching, cases)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
