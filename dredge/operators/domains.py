@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dredge.functions import columns as C
+from dredge.operators.store import written
 
 #: Patterns up to this number are broadcast for certain; more are left to the optimiser.
 BROADCAST_PATTERNS = 100_000
@@ -48,20 +49,26 @@ def _domain_table(spark: SparkSession, patterns: DomainPatterns) -> DataFrame:
 def matched(urls: DataFrame, patterns: DomainPatterns, column: str = "url") -> DataFrame:
     """urls with a boolean `matched`.
 
-    Each URL's host suffixes are looked up in the pattern table by an equi-join, so the cost does
-    not grow with the number of patterns; the URL list and the alternation of regexes need no join.
+    The host suffixes of each distinct host are looked up in the pattern table by an equi-join, and so are
+    URLs in that of full URLs, so the cost does not grow with the number of patterns. Hosts that match are
+    written before they are joined with the URLs again. Regexes are one alternation.
     """
     url: Column = F.col(column)
-    direct = url.isin(*patterns.urls) if patterns.urls else F.lit(False)
+    direct = F.lit(False)
+    small = len(patterns.domains) + len(patterns.urls) <= BROADCAST_PATTERNS
+    if patterns.urls:
+        full = urls.sparkSession.createDataFrame([(u,) for u in sorted(set(patterns.urls))], "__url string").withColumn("__full", F.lit(True))
+        urls = urls.join(F.broadcast(full) if small else full, url == F.col("__url"), "left").drop("__url")
+        direct = F.col("__full").isNotNull()
     if patterns.regexes:
         direct = direct | url.rlike("|".join(f"(?:{p})" for p in patterns.regexes))
     table = _domain_table(urls.sparkSession, patterns)
     hosts = urls.select(C.hostname(url).alias("__host")).distinct()
     suffixes = hosts.select("__host", F.explode(C.host_suffixes(F.col("__host"))).alias("domain"))
-    side = F.broadcast(table) if len(patterns.domains) + len(patterns.urls) <= BROADCAST_PATTERNS else table
-    hit = suffixes.join(side, "domain", "left_semi").select("__host").distinct().withColumn("__hit", F.lit(True))
+    side = F.broadcast(table) if small else table
+    hit = written(suffixes.join(side, "domain", "left_semi").select("__host").distinct().withColumn("__hit", F.lit(True)), "hosts")
     joined = urls.withColumn("__host", C.hostname(url)).join(hit, "__host", "left")
-    return joined.withColumn("matched", F.coalesce(F.col("__hit"), F.lit(False)) | F.coalesce(direct, F.lit(False))).drop("__host", "__hit")
+    return joined.withColumn("matched", F.coalesce(F.col("__hit"), F.lit(False)) | F.coalesce(direct, F.lit(False))).drop("__host", "__hit", "__full")
 
 
 def rewrite_hops(outlinks: DataFrame, patterns: DomainPatterns, max_hops: int) -> DataFrame:

@@ -17,6 +17,7 @@ from dredge.functions.json_links import json_links
 from dredge.functions.pdf_links import pdf_links
 from dredge.functions.xml_links import AZURE_SERVERS, S3_SERVERS, SITEMAP_MARK, listing_links, xml_links
 from dredge.operators import sites
+from dredge.operators.store import written
 
 
 def asset_extractor(url: Column, mime: Column, text: Column, embedded_css: Column | None = None) -> Column:
@@ -55,14 +56,18 @@ def links(responses: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFram
     responses: url, mime, headers, text (decoded body) and hops; also charset and embedded_css if known (else
     style sheets count as embedded). kind is asset, outlink or import. Assets keep the page's hops, outlinks
     get one more. Outlinks of one page are capped before those found
-    among its assets join. Skipped schemes, the page itself and empty links are gone.
+    among its assets join. A column context is handed through. The rows are classified and written once;
+    every extractor then reads its own. Skipped schemes, the page itself and empty links are gone.
     """
     marked = responses.select(
-        F.col("url").alias("page_url"), "mime", "headers", "text", "hops", (F.col("charset") if "charset" in responses.columns else F.lit(None).cast("string")).alias("charset"),
+        F.col("url").alias("page_url"), "mime", "headers", "text", "hops", *(["context"] if "context" in responses.columns else []), (F.col("charset") if "charset" in responses.columns else F.lit(None).cast("string")).alias("charset"),
         asset_extractor(F.col("url"), F.col("mime"), F.col("text"), F.col("embedded_css") if "embedded_css" in responses.columns else None).alias("asset_by"),
         outlink_extractor(F.col("url"), F.col("mime"), F.element_at("headers", "server"), F.col("text")).alias("outlink_by"),
     )
     base = ["page_url", "hops"]
+    if "context" in responses.columns:
+        base.append("context")
+    marked = written(marked, "answers")
     text, page = F.col("text"), F.col("page_url")
 
     def flat(rows: DataFrame, array: Column, rank: int) -> DataFrame:
@@ -115,4 +120,4 @@ def links(responses: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFram
         every = cap_outlinks(every.where("kind = 'outlink'"), config.max_outlinks).unionByName(every.where("kind <> 'outlink'"))
     kind = F.when(F.col("kind") == "found", "outlink").otherwise(F.col("kind"))
     hops = F.when(kind == "outlink", F.col("hops") + 1).otherwise(F.col("hops"))
-    return every.select("page_url", "url", kind.alias("kind"), "tag", "pos", hops.alias("hops"))
+    return every.select("page_url", "url", kind.alias("kind"), "tag", "pos", hops.alias("hops"), *base[2:])

@@ -30,6 +30,11 @@ def _set(frontier: DataFrame, ids: DataFrame, status: str, now: int) -> DataFram
     return marked.select(*[F.when(hit, F.lit(status)).otherwise(F.col(c)).alias(c) if c == "status" else F.when(hit, F.lit(now).cast("long")).otherwise(F.col(c)).alias(c) if c == "timestamp" else F.col(c) for c in frontier.columns])
 
 
+def absent(frontier: DataFrame, ids: DataFrame) -> DataFrame:
+    """Must be empty: ids that an answer names and the queue doesn't have."""
+    return ids.select("id").distinct().join(frontier.select("id"), "id", "left_anti")
+
+
 def claim(frontier: DataFrame, ids: DataFrame, now: int) -> DataFrame:
     return _set(frontier, ids, "CLAIMED", now)
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dredge.operators.store import written
+
 
 def url_key(url: Column) -> Column:
     """Key for partition pruning; equality is always of the URL itself."""
@@ -15,17 +17,21 @@ def check(urls: DataFrame, seen: DataFrame, order: list[str]) -> DataFrame:
     """urls (url, kind, ...) plus `verdict`: keep, promote or seen.
 
     A URL not seen is kept; one seen as an asset that now is a seed is promoted and kept; others are
-    seen. Within a batch rows count in the given order, so only the first of a URL is new, and an
-    asset may still be followed by its promotion.
+    seen. Within a batch rows count in the given order, which tells the rows of a URL apart, so only the
+    first of a URL is new, and an asset may still be followed by its promotion.
+
+    What a row has before it follows from two native minima per URL, of all its rows and of its seeds, so a
+    link that every page carries is one row before the join.
     """
     known = seen.groupBy("url").agg(F.max(F.when(F.col("kind") == "seed", 1).otherwise(0)).alias("__rank"))
-    w = Window.partitionBy("url").orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    here = F.struct(*order)
     mine = F.when(F.col("kind") == "seed", 1).otherwise(0)
-    joined = urls.join(known, "url", "left")
-    past = F.greatest(F.col("__rank"), F.max(mine).over(before))
+    first = urls.groupBy("url").agg(F.min(here).alias("__any"), F.min(F.when(mine == 1, here)).alias("__seed"))
+    joined = urls.join(written(first.join(known, "url", "left"), "first-seen"), "url")
+    before = F.when(F.col("__seed") < here, 1).when(F.col("__any") < here, 0)
+    past = F.greatest(F.col("__rank"), before)
     verdict = F.when(past.isNull(), "keep").when((past == 0) & (mine == 1), "promote").otherwise("seen")
-    return joined.withColumn("verdict", verdict).drop("__rank")
+    return joined.withColumn("verdict", verdict).drop("__rank", "__any", "__seed")
 
 
 def updates(checked: DataFrame) -> DataFrame:

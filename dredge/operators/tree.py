@@ -7,10 +7,12 @@ nothing changes.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from dredge.operators.store import written
 from dredge.schemas import FINAL, SOURCES, STATES
 
 
@@ -20,6 +22,7 @@ def with_depth(items: DataFrame, max_depth: int = 10_000) -> DataFrame:
     items.createOrReplaceTempView(name)
     spark = items.sparkSession
     spark.conf.set("spark.sql.cteRecursionLevelLimit", str(max_depth))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     found = spark.sql(f"""
         WITH RECURSIVE t(item_id, depth, plain_depth, path) AS (
             SELECT item_id, 0, CASE WHEN status = 'GotRedirected' THEN -1 ELSE 0 END, item_id FROM {name} WHERE parent_id IS NULL
@@ -37,7 +40,8 @@ def max_depth(items: DataFrame) -> DataFrame:
 
 def deepest(items: DataFrame) -> DataFrame:
     """Items at the greatest depth of their seed: the level that a pass works on."""
-    return items.withColumn("__m", F.max("depth").over(Window.partitionBy("seed_id"))).where("depth = __m").drop("__m")
+    most = written(items.groupBy("seed_id").agg(F.max("depth").alias("depth")), "deepest")
+    return items.join(most, ["seed_id", "depth"], "left_semi")
 
 
 def at_level(items: DataFrame, level: int) -> DataFrame:
@@ -57,13 +61,14 @@ def has_work() -> Column:
     return ~F.col("status").isin(*FINAL)
 
 
-def complete(items: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | None = None, rounds: int = 10_000) -> DataFrame:
+def complete(items: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
     """GotChildren and GotRedirected items without a child that has work become Completed, bottom up.
 
-    Each round settles one more level; `keep` may write a round's result to cut the lineage.
+    Each round settles one more level and ends in a table (`keep`), until nothing changes.
     """
-    keep = keep or (lambda df, _: df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist())
-    for n in range(rounds):
+    n = 0
+    while True:
+        n += 1
         busy = items.where(has_work() & F.col("parent_id").isNotNull()).select(F.col("parent_id").alias("item_id")).distinct().withColumn("__busy", F.lit(True))
         waits = F.col("status").isin("GotChildren", "GotRedirected")
         marked = items.join(busy, "item_id", "left").withColumn("__done", waits & F.col("__busy").isNull())
@@ -72,7 +77,6 @@ def complete(items: DataFrame, keep: Callable[[DataFrame, str], DataFrame] | Non
         items = after.select(items.columns)
         if not changed:
             return items
-    return items
 
 
 def add_children(items: DataFrame, children: DataFrame, state: str) -> DataFrame:
@@ -119,20 +123,21 @@ def violations(items: DataFrame) -> DataFrame:
     return all_.select("item_id", F.explode(found).alias("rule"))
 
 
-def css_jumps(items: DataFrame, rounds: int = 64) -> DataFrame:
+def css_jumps(items: DataFrame) -> DataFrame:
     """(item_id, jumps) of embedded style sheets: css items whose ancestors, redirects aside, are css items
-    and then an html item; jumps counts the css ancestors. items need mime ('css', 'html' or other)."""
+    and then an html item; jumps counts the css ancestors. items need mime ('css', 'html' or other).
+
+    Each round climbs one level and ends in a table; rounds end with the deepest chain of style sheets."""
     nodes = items.select("item_id", "parent_id", "mime", "status")
     up = nodes.where("mime = 'css' AND parent_id IS NOT NULL").select("item_id", F.col("parent_id").alias("at"), F.lit(0).alias("jumps"))
-    found = None
-    for _ in range(rounds):
+    found: list[DataFrame] = []
+    while True:
         step = up.join(nodes.select(F.col("item_id").alias("at"), F.col("parent_id").alias("next"), F.col("mime").alias("m"), F.col("status").alias("s")), "at")
-        ends = step.where("m = 'html' AND s <> 'GotRedirected'").select("item_id", "jumps")
-        found = ends if found is None else found.unionByName(ends)
+        step = written(step, "css")
+        found.append(step.where("m = 'html' AND s <> 'GotRedirected'").select("item_id", "jumps"))
         up = step.where("next IS NOT NULL AND (s = 'GotRedirected' OR m = 'css')").select("item_id", F.col("next").alias("at"), (F.col("jumps") + F.when((F.col("m") == "css") & (F.col("s") != "GotRedirected"), 1).otherwise(0)).alias("jumps"))
         if up.isEmpty():
-            break
-    return found
+            return reduce(DataFrame.unionByName, found)
 
 
 def draw(rows: list[tuple[str, str | None, str]]) -> str:
