@@ -18,82 +18,131 @@ from dredge.config import CrawlConfig
 from dredge.functions import columns as C
 from dredge.functions.html_links import decode_body
 from dredge.functions.web_url import normalize_url
-from dredge.operators import domains, extract, fetch, scope, seen
+from dredge.operators import archive, domains, extract, fetch, ratelimit, scope, seen, store
 from dredge.operators.fetch import Fetcher
 
+#: What an item carries besides its link: redirects so far, depth below its seed without them, media class of
+#: the item above it, and for what an embedded style sheet imports the number of imports so far.
+_STATE = ("hops", "via", "redirects", "depth", "up", "jumps")
+_QUEUE = "raw string, parent string, kind string, hops int, via string, redirects int, depth int, up string, jumps int"
+_CAPTURE = "url string, kind string, hops int, via string, redirects int, depth int, status int, result string, discard_reason string, mime string, digest string, size int, state string"
+_LINK = "page_url string, url string, kind string, tag string, pos int, hops int"
+
 
 @dataclass
 class CrawlResult:
+    """captures (with revisit_of), links, what is left of the frontier, the seen-set, rounds, and if it came to an end."""
+
     captures: DataFrame
     links: DataFrame
     frontier: DataFrame
     seen: DataFrame
     rounds: int
+    finished: bool
 
 
 class CrawlJob:
-    """Crawl from seeds (value) with a fetcher; assets are crawled within the round of their page's round."""
+    """Crawl from seeds (value) with a fetcher; assets are crawled in the round after their page's."""
 
     def __init__(self, spark: SparkSession, config: CrawlConfig, fetcher: Fetcher, folder: str | None = None) -> None:
         self.spark, self.config, self.fetcher = spark, config, fetcher
-        base = folder or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-        self.folder = f"{base.rstrip('/')}/crawl-{uuid.uuid4().hex}"
+        self.folder = f"{(folder or store.folder(spark)).rstrip('/')}/crawl-{uuid.uuid4().hex}"
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def preprocess(self, rows: DataFrame, known: DataFrame, number: str) -> DataFrame:
-        """url, parent, kind, hops, via of what is to be fetched: normalised, in scope, unseen, once each."""
+    def preprocess(self, rows: DataFrame, known: DataFrame, number: int) -> DataFrame:
+        """url, parent, kind and state of what is to be fetched: normalised, in scope, unseen, once each."""
         c = self.config
         done = rows.withColumn("n", normalize_url(F.col("raw"), F.col("parent"), c.max_url_length, c.max_segment_repetition, c.max_segment_threshold))
-        done = self._keep(done.select(F.col("n.url").alias("url"), F.col("n.error").alias("error"), "parent", "kind", "hops", "via"), f"normal-{number}")
+        done = self._keep(done.select(F.col("n.url").alias("url"), F.col("n.error").alias("error"), "parent", "kind", *_STATE), f"normal-{number}")
         good = done.where("url is not null").where(scope.in_scope(F.col("url"), c))
-        good = good.where((F.col("kind") == "seed") | ~C.path(F.col("url")).isin("", "/"))
-        first = good.groupBy("url").agg(F.min_by(F.struct("parent", "kind", "hops", "via"), F.struct("hops", F.when(F.col("kind") == "seed", 0).otherwise(1), "parent")).alias("r")).select("url", "r.*")
+        good = good.where((F.col("kind") == "seed") | (F.col("redirects") > 0) | ~C.path(F.col("url")).isin("", "/"))
+        order = F.struct("hops", F.when(F.col("kind") == "seed", 0).otherwise(1), "redirects", "parent")
+        first = good.groupBy("url").agg(F.min_by(F.struct("parent", "kind", *_STATE), order).alias("r")).select("url", "r.*")
         if c.disable_seencheck:
             return first
-        return seen.check(first, known, ["hops", "kind"]).where("verdict <> 'seen'").drop("verdict")
+        # Where a redirect leads is fetched though it was seen: it is the same item.
+        checked = seen.check(first, known, ["hops", "kind"])
+        return checked.where("verdict <> 'seen' OR redirects > 0").drop("verdict")
 
     def fetched(self, todo: DataFrame) -> DataFrame:
-        """todo joined with the attempts that end their retries."""
+        """todo joined with the attempts that end their retries; what a browser has captured needs no status."""
         c = self.config
         answers = self.fetcher.fetch(todo)
         ended = fetch.outcome(answers.where("attempt is not null").select("url", "attempt", "status", "headers"), c)
         full = answers.join(ended.select("url", F.col("attempt").alias("end"), "discard_reason", "result"), "url", "left")
         full = full.where(F.col("attempt").isNull() | (F.col("attempt") == F.col("end")))
-        return full.withColumn("result", F.coalesce("result", F.lit("failed"))).withColumn("mime", fetch.mime(F.col("headers"), F.col("body")))
+        rendered = F.lit(c.headless) & F.col("status").isNull() & F.col("body").isNotNull()
+        result = F.when(rendered, "archived").otherwise(F.coalesce("result", F.lit("failed")))
+        return full.withColumn("result", result).withColumn("mime", F.when(rendered, "text/html").otherwise(fetch.mime(F.col("headers"), F.col("body"))))
+
+    def settled(self, got: DataFrame) -> DataFrame:
+        """got plus what becomes of each item (`next`, `state`), its media class, and its place in a chain of style sheets."""
+        class_ = C.mime_class(F.col("mime"))
+        embedded = (class_ == "css") & ((F.col("up") == "html") | ((F.col("up") == "css") & F.col("jumps").isNotNull()))
+        rows = got.withColumn("class", class_).withColumn("embedded_css", F.coalesce(embedded, F.lit(False)))
+        rows = rows.withColumn("chain", F.when(F.col("embedded_css"), F.when(F.col("up") == "html", 0).otherwise(F.col("jumps") + 1)))
+        items = rows.withColumn("code", F.col("status")).withColumn("location", F.element_at("headers", "location")).withColumn("plain_depth", F.col("depth"))
+        items = items.withColumn("mime", F.coalesce("mime", F.lit("")))
+        return fetch.after_response(items, self.config).withColumn("next", F.when((F.col("next") == "extract") & ((F.col("result") != "archived") | F.col("body").isNull()), "none").otherwise(F.col("next")))
+
+    def extracted(self, got: DataFrame, number: int) -> DataFrame:
+        """Links of the pages of a round, with the media class, chain and depth of their page."""
+        pages = got.where("next = 'extract'")
+        text = pages.withColumn("d", decode_body(fetch.retain(F.col("body"), F.col("mime")), F.element_at("headers", "content-type")))
+        context = F.struct("class", "chain", "depth")
+        rows = text.select("url", "mime", "headers", F.coalesce("d.text", F.lit("")).alias("text"), "hops", F.col("d.charset").alias("charset"), "embedded_css", context.alias("context"))
+        return self._keep(extract.links(rows, self.config), f"links/round={number}")
+
+    def children(self, found: DataFrame, patterns: domains.DomainPatterns) -> DataFrame:
+        """Queue rows of a round's links: assets below their page, imports up to the limit, outlinks as seeds."""
+        c = self.config
+        take_assets = not c.disable_assets and not c.headless
+        own = found.where("kind <> 'outlink'").where(F.lit(take_assets)).where((F.col("kind") != "import") | (F.coalesce("context.chain", F.lit(0)) < c.max_css_jump))
+        raw = (F.col("url").alias("raw"), F.col("page_url").alias("parent"))
+        below = (F.col("page_url").alias("via"), F.lit(0).alias("redirects"))
+        assets = own.select(*raw, F.lit("asset").alias("kind"), "hops", *below, (F.col("context.depth") + 1).alias("depth"), F.col("context.class").alias("up"), F.col("context.chain").alias("jumps"))
+        out = domains.rewrite_hops(found.where("kind = 'outlink'").select("url", "page_url", "hops"), patterns, c.max_hops)
+        none = F.lit(None)
+        return assets.unionByName(out.select(*raw, F.lit("seed").alias("kind"), "hops", *below, F.lit(0).alias("depth"), none.cast("string").alias("up"), none.cast("int").alias("jumps")))
+
+    def schedule(self, captures: DataFrame) -> DataFrame:
+        """url, round and the second of its round at which each fetch may start by its host's bucket."""
+        c = self.config
+        host = F.concat_ws(" ", F.col("round").cast("string"), C.hostname(F.col("url")))
+        keyed = captures.select(host.alias("host"), F.lit(0.0).alias("ts"), F.coalesce("status", F.lit(0)).alias("code"), F.xxhash64("url").alias("seq"), "url", "round")
+        starts = ratelimit.replay(keyed, c.rate_capacity, c.rate_refill).select("host", "seq", "start")
+        return keyed.select("host", "seq", "url", "round").join(starts, ["host", "seq"]).select("url", "round", "start")
 
     def run(self, seeds: DataFrame) -> CrawlResult:
         c, spark = self.config, self.spark
         patterns = domains.classify(list(c.domains_crawl))
-        queue = self._keep(seeds.select(F.col("value").alias("raw"), F.lit(None).cast("string").alias("parent"), F.lit("seed").alias("kind"), F.lit(0).alias("hops"), F.lit(None).cast("string").alias("via")), "queue-0")
+        none = F.lit(None).cast("string")
+        queue = seeds.select(F.col("value").alias("raw"), none.alias("parent"), F.lit("seed").alias("kind"), F.lit(0).alias("hops"), none.alias("via"), F.lit(0).alias("redirects"), F.lit(0).alias("depth"), none.alias("up"), F.lit(None).cast("int").alias("jumps"))
+        queue = self._keep(queue, "queue-0")
         known = spark.createDataFrame([], "url string, kind string")
-        captures: DataFrame | None = None
-        links: DataFrame | None = None
         number = 0
-        while number < c.max_rounds and not queue.isEmpty():
-            picked = self._keep(queue.orderBy("hops", "raw").limit(c.batch), f"picked-{number}")
-            rest = queue.join(picked.select("raw", "kind", "parent", "hops"), [queue["raw"].eqNullSafe(picked["raw"]), queue["kind"] == picked["kind"], queue["parent"].eqNullSafe(picked["parent"]), queue["hops"] == picked["hops"]], "left_anti")
-            todo = self._keep(self.preprocess(picked, known, str(number)), f"todo-{number}")
-            got = self._keep(self.fetched(todo), f"got-{number}")
+        while number < c.max_rounds and (waiting := queue.count()):
+            picked, rest = queue, None
+            if waiting > c.batch:
+                picked = self._keep(queue.orderBy("hops", "raw").limit(c.batch), f"picked-{number}")
+                same = [queue[x].eqNullSafe(picked[x]) for x in queue.columns]
+                rest = queue.join(picked, same, "left_anti")
+            todo = self._keep(self.preprocess(picked, known, number), f"todo-{number}")
+            got = self._keep(self.settled(self.fetched(todo)), f"got-{number}")
             known = self._keep(seen.merge(known, todo.select("url", "kind")), f"seen-{number}")
-            new = got.select("url", "kind", "hops", "via", "status", "result", "discard_reason", "mime", F.sha2("body", 256).alias("digest"), F.octet_length("body").alias("size"), F.lit(number).alias("round"))
-            captures = new if captures is None else captures.unionByName(new)
-            moved = got.where(C.is_redirect(F.col("status")) & F.element_at("headers", "location").isNotNull()).select(
-                F.element_at("headers", "location").alias("raw"), F.col("url").alias("parent"), "kind", "hops", F.col("url").alias("via")
-            )
-            pages = got.where("result = 'archived' AND status = 200 AND body IS NOT NULL")
-            text = pages.withColumn("d", decode_body(fetch.retain(F.col("body"), F.col("mime")), F.element_at("headers", "content-type")))
-            found = self._keep(extract.links(text.select("url", "mime", "headers", F.coalesce("d.text", F.lit("")).alias("text"), "hops"), c), f"links-{number}")
-            links = found if links is None else links.unionByName(found)
-            nothing = c.disable_assets and not patterns
-            assets = found.where("kind <> 'outlink'").where(F.lit(not c.disable_assets)).select(F.col("url").alias("raw"), F.col("page_url").alias("parent"), F.lit("asset").alias("kind"), "hops", F.col("page_url").alias("via"))
-            out = found.where("kind = 'outlink'").where(F.lit(not nothing)).select("url", "page_url", "hops")
-            out = domains.rewrite_hops(out, patterns, c.max_hops).select(F.col("url").alias("raw"), F.col("page_url").alias("parent"), F.lit("seed").alias("kind"), "hops", F.col("page_url").alias("via"))
+            self._keep(got.select("url", "kind", "hops", "via", "redirects", "depth", "status", "result", "discard_reason", "mime", F.sha2("body", 256).alias("digest"), F.octet_length("body").alias("size"), "state"), f"captures/round={number}")
+            moved = got.where("next = 'redirect'").select(F.col("location").alias("raw"), F.col("url").alias("parent"), "kind", "hops", F.col("url").alias("via"), (F.col("redirects") + 1).alias("redirects"), "depth", "up", "jumps")
+            new = moved.unionByName(self.children(self.extracted(got, number), patterns))
             number += 1
-            queue = self._keep(rest.unionByName(moved).unionByName(assets).unionByName(out).distinct(), f"queue-{number}")
-        empty = spark.createDataFrame([], "url string, kind string, hops int, via string, status int, result string, discard_reason string, mime string, digest string, size int, round int")
-        none = spark.createDataFrame([], "page_url string, url string, kind string, tag string, pos int, hops int")
-        return CrawlResult(empty if captures is None else captures, none if links is None else links, queue, known, number)
+            queue = self._keep((rest.unionByName(new) if rest is not None else new).distinct(), f"queue-{number}")
+        if not number:
+            empty = lambda kind: spark.createDataFrame([], kind + ", round int")
+            return CrawlResult(empty(_CAPTURE).withColumn("revisit_of", none), empty(_LINK), queue, known, 0, True)
+        captures = spark.read.schema(_CAPTURE + ", round int").parquet(f"{self.folder}/captures")
+        captures = archive.revisits(captures, ["round"], c.dedupe_min_size)
+        links = spark.read.schema(_LINK + ", round int").parquet(f"{self.folder}/links")
+        return CrawlResult(captures, links, queue, known, number, queue.isEmpty())

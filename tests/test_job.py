@@ -47,6 +47,57 @@ def test_redirect_and_exclusion(spark, responses):
     assert crawl(spark, responses, ["localhost", "ftp://x.test/"]) == {}
 
 
+def replay(spark, rows, seeds, **settings):
+    """Captures of a crawl over (path, status, headers, body) of one host, by path."""
+    answers = [(f"http://site.test{p}", status, headers, None if body is None else bytearray(body.encode())) for p, status, headers, body in rows]
+    job = CrawlJob(spark, CrawlConfig(**settings), ReplayFetcher(spark.createDataFrame(answers, "url string, status int, headers map<string,string>, body binary")))
+    result = job.run(spark.createDataFrame([(f"http://site.test{s}",) for s in seeds], "value string"))
+    assert result.finished
+    return job, result, {r["url"].removeprefix("http://site.test"): r for r in result.captures.collect()}
+
+
+def test_redirect_limit(spark):
+    rows = [(f"/r{i}", 302, {"location": f"/r{i + 1}"}, None) for i in range(8)]
+    _, _, got = replay(spark, rows, ["/r0"], max_redirect=3)
+    assert {p: (r["redirects"], r["state"]) for p, r in got.items()} == {"/r0": (0, "GotRedirected"), "/r1": (1, "GotRedirected"), "/r2": (2, "GotRedirected"), "/r3": (3, "Completed")}
+    assert CrawlConfig().max_redirect == 20 and CrawlConfig().max_css_jump == 10
+
+
+def test_style_sheet_chain(spark):
+    css = {"content-type": "text/css"}
+    rows = [("/", 200, {"content-type": "text/html"}, '<link rel=stylesheet href="/c0.css">')]
+    rows += [(f"/c{i}.css", 200, css, f'@import "/c{i + 1}.css"; a{{background:url(/i{i}.png)}}') for i in range(6)]
+    rows += [("/alone.css", 200, css, '@import "/never.css"; a{background:url(/never.png)}')]
+    _, _, got = replay(spark, rows, ["/", "/alone.css"], max_css_jump=2)
+    assert set(got) == {"/", "/alone.css", "/c0.css", "/c1.css", "/c2.css", "/i0.png", "/i1.png", "/i2.png"}
+
+
+def test_depth_and_asset_gates(spark):
+    html = {"content-type": "text/html"}
+    rows = [("/", 200, html, '<img src="/frame.html"><a href="/out">x</a>'), ("/frame.html", 200, html, '<img src="/deep.png">'), ("/out", 200, html, "out")]
+    _, _, got = replay(spark, rows, ["/"], max_hops=1)
+    assert set(got) == {"/", "/frame.html", "/out"}
+    _, _, got = replay(spark, rows, ["/"], max_hops=1, disable_assets=True)
+    assert set(got) == {"/"}
+
+
+def test_rendered_pages(spark):
+    rows = [("/", None, None, '<img src="/a.png"><a href="/out">x</a>'), ("/out", None, None, "rendered")]
+    _, _, got = replay(spark, rows, ["/"], max_hops=1, headless=True)
+    assert {p: r["result"] for p, r in got.items()} == {"/": "archived", "/out": "archived"}
+
+
+def test_revisits_and_schedule(spark):
+    rows = [(p, 200, {"content-type": "text/plain"}, "same body" * 200) for p in ("/a", "/b", "/c")]
+    job, result, got = replay(spark, rows, ["/a", "/b", "/c"], rate_capacity=2.0, rate_refill=1.0)
+    assert sorted(r["revisit_of"] or "" for r in got.values()) == ["", "http://site.test/a", "http://site.test/a"]
+    assert sorted(r["start"] for r in job.schedule(result.captures).collect()) == [0.0, 0.0, 1.0]
+
+
+def test_batches(spark, responses):
+    assert crawl(spark, responses, ["http://site.test/"], max_hops=1, batch=1) == {"site.test/": 0, "site.test/one": 1, "other.test/": 1, "site.test/pic.png": 0}
+
+
 def test_sql_functions(spark):
     names = sql.register(spark)
     assert "normalize_url" in names
