@@ -55,9 +55,29 @@ def histogram(events: DataFrame, ms: str) -> DataFrame:
     return joined.groupBy("le").agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"))
 
 
+#: Columns that a fetch event may have beyond those of `snapshot`, with the counter each one gives.
+_OPTIONAL = {
+    "finished_seed": "finished_seeds", "pre_busy": "preprocessor_routines", "archive_busy": "archiver_routines", "post_busy": "postprocessor_routines", "finish_busy": "finisher_routines", "paused": "paused",
+    "remote_asset_saved": "seencheck_assets", "seen_error": "seencheck_failures", "queue_error": "queue_failures",
+}
+
+
 def snapshot(events: DataFrame) -> DataFrame:
-    """One row with the counters of a crawl. events: code, ms, bytes, seed_done, challenge ('cloudflare', 'akamai' or null)."""
-    c = F.col("code").cast("string")
+    """One row with the counters of a crawl. events: code, ms, bytes, seed_done, challenge ('cloudflare', 'akamai' or null).
+
+    Where events have them also: fetched_at (URLs a second over the span of the crawl), body_ms and process_ms (mean
+    times), written, dedupe_local and dedupe_remote (bytes and records written, and saved by the local and the
+    remote index), and the flags of _OPTIONAL, which are counted.
+    """
+    c, have = F.col("code").cast("string"), set(events.columns)
+    more = [F.count_if(F.col(x)).alias(name) for x, name in _OPTIONAL.items() if x in have]
+    if "fetched_at" in have:
+        span = F.unix_seconds(F.max("fetched_at").cast("timestamp")) - F.unix_seconds(F.min("fetched_at").cast("timestamp")) + 1
+        more.append(F.coalesce(F.floor(F.count("*") / span), F.lit(0)).cast("long").alias("urls_per_second"))
+    more += [mean(F.col(x)).alias(f"mean_{x}") for x in ("body_ms", "process_ms") if x in have]
+    for x in ("written", "dedupe_local", "dedupe_remote"):
+        if x in have:
+            more += [counter(F.col(x)).alias(f"{x}_bytes"), F.count_if(F.col(x) > 0).alias(f"{x}_records")]
     return events.agg(
         F.count("*").alias("urls_crawled"),
         F.count_if("seed_done").alias("seeds_finished"),
@@ -66,6 +86,7 @@ def snapshot(events: DataFrame) -> DataFrame:
         F.count_if(F.col("challenge") == "akamai").alias("akamai_challenges"),
         mean(F.col("ms")).alias("mean_response_ms"),
         (F.coalesce(F.sum("bytes"), F.lit(0)) / F.lit(1e9)).alias("archived_gb"),
+        *more,
     )
 
 
@@ -75,12 +96,22 @@ def children_captured(items: DataFrame) -> DataFrame:
     return items.groupBy("seed_id").agg(F.count_if(kid).alias("children"))
 
 
-def exposition(snapshot_row: dict, prefix: str, labels: dict[str, str]) -> str:
-    """Metrics as text, one gauge per column of a snapshot."""
-    tags = ",".join(f'{k}="{v}"' for k, v in labels.items())
+def exposition(snapshot_row: dict, prefix: str, labels: dict[str, str], counters: tuple[str, ...] = (), histograms: dict[str, list[tuple[float, int]]] | None = None) -> str:
+    """Metrics as text: one gauge per column of a snapshot, or a counter if it is named as one, and histograms.
+
+    A histogram is the rows (le, n) of `histogram`, whose counts are cumulative.
+    """
+    tags = [f'{k}="{v}"' for k, v in labels.items()]
     lines = []
     for name, value in snapshot_row.items():
-        lines += [f"# TYPE {prefix}{name} gauge", f"{prefix}{name}{{{tags}}} {value}"]
+        kind = "counter" if name in counters else "gauge"
+        lines += [f"# TYPE {prefix}{name} {kind}", f"{prefix}{name}{{{','.join(tags)}}} {value}"]
+    for name, rows in (histograms or {}).items():
+        lines.append(f"# TYPE {prefix}{name} histogram")
+        bound = lambda le: "+Inf" if le == float("inf") else repr(round(le, 6))
+        ordered = sorted(rows)
+        lines += [f"{prefix}{name}_bucket{{{','.join([*tags, f'le={chr(34)}{bound(le)}{chr(34)}'])}}} {n}" for le, n in ordered]
+        lines.append(f"{prefix}{name}_count{{{','.join(tags)}}} {ordered[-1][1] if ordered else 0}")
     return "\n".join(lines) + "\n"
 
 

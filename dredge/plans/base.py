@@ -29,4 +29,7 @@ HREFS_SQL = r"""hrefs AS (SELECT page_id, url, pos - 1 AS pos, list[pos] AS href
   SELECT page_id, url, list, unnest(range(1, len(list) + 1)) AS pos FROM (
     SELECT page_id, url, regexp_extract_all(html, '<a\s[^>]*?href="([^"]*)"', 1) AS list FROM pages)))"""
 TARGETS_SQL = HREFS_SQL + r""", targets AS (SELECT *, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || href ELSE href END AS target FROM hrefs)"""
+#: A root-relative address as it is written: what isn't ASCII, and the characters that a path can't have, in percent form.
+ENCODED_SQL = r"""array_to_string(list_transform(string_split({0}, ''), lambda c: CASE WHEN c <> '' AND (unicode(c) > 127 OR c IN (' ', '"', '<', '>', '^', '`', '{{', '|', '}}')) THEN url_encode(c) ELSE c END), '')"""
+ORIGIN_SQL = r"regexp_extract({0}, '^([a-z]+://[^/?#]+)', 1)"
 HOST_SQL = r"lower(regexp_extract({0}, '^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)', 1))"

@@ -14,8 +14,9 @@ from dredge.functions.html_links import html_links
 from dredge.functions.json_links import json_links
 from dredge.functions.web_url import normalize_url, reencoded_query, resolve_url, url_list, url_to_string, valid_url
 from dredge.functions.xml_links import sitemap_mark
-from dredge.operators import extract, fetch, scope, seen, sites, tree
+from dredge.operators import extract, fetch, frontier, metrics, scope, seen, sites, tree
 from dredge.plans.base import table
+from dredge.sources import lists
 
 _PAGE = "http://s.test/d/p"
 
@@ -281,6 +282,51 @@ def domain_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", F.array_join(F.array_sort("j.assets"), " ").alias("assets"), F.array_join(F.array_sort("j.outlinks"), " ").alias("outlinks"), F.col("j.error").isNotNull().alias("broken"))
 
 
+def full_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All counters of a crawl, with events as fetches."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    rows = e.select(
+        F.when(k % 5 == 0, 404).otherwise(200).alias("code"), (k % 900).alias("ms"), (k % 7).alias("bytes"), (k % 3 == 0).alias("seed_done"), F.when(k % 11 == 0, "cloudflare").alias("challenge"), F.col("ts").alias("fetched_at"), (k % 90).alias("body_ms"), (k % 9).alias("process_ms"),
+        (k % 4).alias("written"), (k % 2).alias("dedupe_local"), (k % 8).alias("dedupe_remote"), *((k % n == 0).alias(x) for n, x in enumerate(metrics._OPTIONAL, 2)),
+    )
+    return metrics.snapshot(rows)
+
+
+_FLAGS = ", ".join(f"count(*) FILTER (k % {n} = 0) AS {x}" for n, x in enumerate(metrics._OPTIONAL.values(), 2))
+
+
+def least_used(spark: SparkSession, sf_dir: str) -> DataFrame:
+    used = table(spark, sf_dir, "events").groupBy(F.col("user_id").cast("string").alias("host")).agg(F.count("*").alias("uses"))
+    return metrics.least_used(used)
+
+
+def frontier_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of answers that the queue doesn't have: every third answer is for another one."""
+    queue = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("id"))
+    answers = table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("x"), F.col("page_id").cast("string"))).otherwise(F.col("page_id").cast("string")).alias("id"))
+    return frontier.absent(queue, answers)
+
+
+def split_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best 30 rows of the queue in three requests."""
+    k = F.col("page_id")
+    queue = table(spark, sf_dir, "pages").select(k.cast("string").alias("id"), F.col("url").alias("value"), F.lit(None).cast("string").alias("via"), (k % 4).cast("int").alias("hops"), F.lit("FRESH").alias("status"), (1000 - k).alias("timestamp"))
+    return frontier.split_batches(queue, 31, 3).select("id", F.col("request").cast("long").alias("request"))
+
+
+def seed_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses given at the start, as queue rows."""
+    rows = lists.to_frontier(lists.from_urls(spark, ["http://s.test/a", "http://s.test/b", "http://s.test/a"]), 5)
+    return rows.select("id", "value", F.col("hops").cast("long").alias("hops"), "status", "timestamp")
+
+
+def disk_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether disks of some sizes are low, by size and free space in GiB."""
+    cases = [(512, 49), (512, 51), (128, 24), (128, 26), (256, 50), (64, 12)]
+    rows = [(t, f, fetch.disk_low(t << 30, f << 30), fetch.disk_low(t << 30, f << 30, 20)) for t, f in cases]
+    return spark.createDataFrame(rows, "total long, free long, low boolean, under_20 boolean")
+
+
 def _same(name: str, values: list, kind: str = "VARCHAR") -> str:
     return f"{_sql(values, kind)} AS {name}"
 
@@ -309,5 +355,13 @@ QUERIES = {
     "redirect_children": (redirect_children, "SELECT page_id || '/r' AS item_id, page_id::VARCHAR AS parent_id, '/next' AS url, 'Fresh' AS status, page_id % 23 + 1 AS redirects, page_id % 3 AS hops FROM pages WHERE page_id % 23 < 20"),
     "sanitized_assets": (sanitized_assets, "SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'http://s.test/a.png' ELSE 'https://s.test/b.js' END AS url FROM pages WHERE page_id % 6 IN (0, 4)"),
     "long_answers": (long_answers, f"SELECT page_id, {_same('reason', [None, 'length', 'length', None, None])}, least(strlen(html), 100)::BIGINT AS n_bytes, strlen(html) > 100 AS truncated FROM pages"),
+    "full_snapshot": (full_snapshot, f"""WITH e AS (SELECT event_id AS k, ts FROM events) SELECT count(*) AS urls_crawled, count(*) FILTER (k % 3 = 0) AS seeds_finished, count(*) FILTER (k % 5 > 0) AS http_2xx, 0::BIGINT AS http_3xx, count(*) FILTER (k % 5 = 0) AS http_4xx, 0::BIGINT AS http_5xx,
+        count(*) FILTER (k % 11 = 0) AS cloudflare_challenges, 0::BIGINT AS akamai_challenges, floor(avg(k % 900))::BIGINT AS mean_response_ms, sum(k % 7) / 1e9 AS archived_gb, {_FLAGS}, (count(*) // (epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT + 1))::BIGINT AS urls_per_second,
+        floor(avg(k % 90))::BIGINT AS mean_body_ms, floor(avg(k % 9))::BIGINT AS mean_process_ms, sum(k % 4)::BIGINT AS written_bytes, count(*) FILTER (k % 4 > 0) AS written_records, sum(k % 2)::BIGINT AS dedupe_local_bytes, count(*) FILTER (k % 2 > 0) AS dedupe_local_records, sum(k % 8)::BIGINT AS dedupe_remote_bytes, count(*) FILTER (k % 8 > 0) AS dedupe_remote_records FROM e"""),
+    "least_used": (least_used, "SELECT arg_min(host, (uses, host)) AS host FROM (SELECT user_id::VARCHAR AS host, count(*) AS uses FROM events GROUP BY 1)"),
+    "frontier_absent": (frontier_absent, "SELECT 'x' || page_id AS id FROM pages WHERE page_id % 3 = 0"),
+    "split_requests": (split_requests, "SELECT id, (n - 1) // 10 AS request FROM (SELECT page_id::VARCHAR AS id, row_number() OVER (ORDER BY page_id % 4, 1000 - page_id, page_id::VARCHAR) AS n FROM pages) WHERE n <= 30"),
+    "seed_queue": (seed_queue, "SELECT sha256(value) AS id, value, 0::BIGINT AS hops, 'FRESH' AS status, 5::BIGINT AS timestamp FROM (VALUES ('http://s.test/a'), ('http://s.test/b')) v(value)"),
+    "disk_limits": (disk_limits, "SELECT * FROM (VALUES (512::BIGINT, 49::BIGINT, true, false), (512, 51, false, false), (128, 24, true, false), (128, 26, false, false), (256, 50, false, false), (64, 12, true, true)) v(total, free, low, under_20)"),
     "json_bodies": (domain_json, f"SELECT page_id, {_same('assets', ['http://s.test/x.js', '', 'https://s.test/p.png'])}, {_same('outlinks', ['http://s.test/y http://s.test/z', '', ''])}, page_id % 3 = 1 AS broken FROM pages"),
 }

@@ -10,7 +10,7 @@ from dredge.functions import columns as C
 from dredge.job import CrawlJob
 from dredge.operators import fetch, ratelimit
 from dredge.operators.fetch import ReplayFetcher
-from dredge.plans.base import table
+from dredge.plans.base import ENCODED_SQL, HREFS_SQL, ORIGIN_SQL, table
 
 
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +70,26 @@ def replayed_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     responses = pages.select(C.strip_fragment(F.col("url")).alias("url"), F.lit(200).alias("status"), F.create_map(F.lit("content-type"), F.lit("text/html; charset=utf-8")).alias("headers"), F.col("html").cast("binary").alias("body"), F.col("page_id"))
     responses = responses.groupBy("url").agg(F.min_by(F.struct("status", "headers", "body"), "page_id").alias("r")).select("url", "r.*")
     result = CrawlJob(spark, CrawlConfig(max_hops=1), ReplayFetcher(responses)).run(pages.select(F.col("url").alias("value")))
-    return result.captures.select("url", "kind", "hops", "status", "result", "digest")
+    return result.captures.select("url", "kind", F.col("hops").cast("long").alias("hops"), F.col("status").cast("long").alias("status"), "result", "digest")
 
 
 _A = """a AS (SELECT event_id, (event_id // 3)::VARCHAR AS url, event_id % 3 AS attempt, nullif([200, 503, 403, 301, 429, 404, 403, 0, 500, 200, 503][event_id % 11 + 1], 0) AS status, event_id % 11 = 2 AS cf, event_id % 11 = 6 AS ak FROM events),
   b AS (SELECT *, CASE WHEN status = 403 AND cf THEN 'cloudflare' WHEN status = 403 AND ak THEN 'akamai' WHEN status = 429 THEN 'status' END AS reason, status >= 500 OR status IN (408, 425, 429) AS bad FROM a)"""
+#: One request after the other per host: when it starts (a), refills (b, c), token taken (d), and what the answer does.
+_BUCKETS = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS host, epoch_us(ts)::DOUBLE / 1e6 AS ts, CASE WHEN event_type = 'error' THEN 503 WHEN event_id % 97 = 0 THEN 429 ELSE 200 END AS code, event_id AS seq FROM events),
+  n AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ts, seq) AS i FROM e),
+  s AS (SELECT host, 0::BIGINT AS i, NULL::BIGINT AS seq, ts, NULL::INT AS code, NULL::DOUBLE AS start, 150.0::DOUBLE AS tokens, 50.0::DOUBLE AS rate, ts AS last, '-infinity'::DOUBLE AS until, 0 AS failures FROM n WHERE i = 1
+    UNION ALL SELECT host, i, seq, ts, code, w2 AS start,
+      CASE WHEN code IN (429, 403, 408, 425) OR code >= 500 THEN 0.0 ELSE t3 END,
+      CASE WHEN code IN (429, 403, 408, 425) THEN rate WHEN code >= 500 THEN greatest(rate * power(0.5, failures + 1), 0.5) WHEN w2 > until THEN least(50.0, rate + (50.0 - rate) * 0.1) ELSE rate END,
+      l2, CASE WHEN code IN (429, 403, 408, 425) THEN w2 + least(5.0 * power(2, failures), 30.0) ELSE until END,
+      CASE WHEN code IN (429, 403, 408, 425) OR code >= 500 THEN failures + 1 WHEN w2 > until THEN greatest(0, failures - 1) ELSE failures END
+    FROM (SELECT *, greatest(0.0, CASE WHEN short AND w2 >= until AND w2 - greatest(l1, until) > 0 THEN least(150.0, t1 + (w2 - greatest(l1, until)) * rate) ELSE t1 END - 1) AS t3,
+        CASE WHEN short AND w2 >= until AND w2 - greatest(l1, until) > 0 THEN w2 ELSE l1 END AS l2
+      FROM (SELECT *, t1 < 1 AS short, CASE WHEN t1 < 1 THEN w1 + (1 - t1) / rate ELSE w1 END AS w2
+        FROM (SELECT *, CASE WHEN w1 >= until AND w1 - greatest(last, until) > 0 THEN least(150.0, tokens + (w1 - greatest(last, until)) * rate) ELSE tokens END AS t1, CASE WHEN w1 >= until AND w1 - greatest(last, until) > 0 THEN w1 ELSE last END AS l1
+          FROM (SELECT n.host, n.i, n.seq, n.ts, n.code, s.tokens, s.rate, s.last, s.until, s.failures, greatest(n.ts, CASE WHEN s.tokens < 1 THEN s.until ELSE n.ts END) AS w1 FROM s JOIN n ON n.host = s.host AND n.i = s.i + 1)))))
+  SELECT host, seq, ts, code::INT AS code, start, tokens, rate, CASE WHEN until > '-infinity'::DOUBLE THEN until END AS penalty_until, failures::INT AS failures FROM s WHERE i > 0"""
 QUERIES = {
     "discards": (discards, f"WITH {_A} SELECT event_id, reason, CASE WHEN reason = 'cloudflare' THEN true ELSE bad END AS retryable, bad, status IN (300, 301, 302, 303, 307, 308) AS redirect FROM b"),
     "fetch_outcomes": (outcomes, f"""WITH {_A}, c AS (SELECT *, NOT (status IS NULL OR bad OR coalesce(reason = 'cloudflare', false)) AS ends FROM b), d AS (SELECT url, min(attempt) FILTER (ends) AS e, max(attempt) AS l FROM c GROUP BY 1)
@@ -84,6 +99,9 @@ QUERIES = {
         q AS (SELECT page_id, CASE WHEN code = 301 AND r < 20 THEN 'redirect' WHEN code = 301 OR (d > 2 AND NOT css) OR d = 1 OR code <> 200 THEN 'none' ELSE 'extract' END AS next FROM p) SELECT page_id, next, CASE next WHEN 'redirect' THEN 'GotRedirected' WHEN 'none' THEN 'Completed' ELSE 'Archived' END AS state FROM q"""),
     "subrequests": (subrequests, """WITH p AS (SELECT page_id, url, page_id % 3 IN (0, 2) AS media, ['GET', 'POST', 'TRACE', 'GET'][page_id % 4 + 1] AS m FROM pages), s AS (SELECT DISTINCT url FROM pages WHERE page_id % 2 = 0)
         SELECT page_id, CASE WHEN m = 'TRACE' THEN 'block' WHEN url IN (SELECT url FROM s) AND m = 'GET' AND media THEN 'block' ELSE 'load' END AS verdict FROM p"""),
-    "token_buckets": (token_buckets, None),
-    "replayed_crawl": (replayed_crawl, None),
+    "token_buckets": (token_buckets, _BUCKETS),
+    "replayed_crawl": (replayed_crawl, f"""WITH {HREFS_SQL}, p AS (SELECT regexp_replace(url, '#.*$', '') AS url, arg_min(html, page_id) AS html FROM pages GROUP BY 1),
+        o AS (SELECT DISTINCT regexp_replace({ORIGIN_SQL.format('h.url')} || {ENCODED_SQL.format('href')}, '#.*$', '') AS url FROM hrefs h WHERE page_id IN (SELECT min(page_id) FROM pages GROUP BY regexp_replace(url, '#.*$', '')))
+        SELECT url, 'seed' AS kind, 0::BIGINT AS hops, 200::BIGINT AS status, 'archived' AS result, sha256(html) AS digest FROM p
+        UNION ALL SELECT url, 'seed', 1, NULL, 'failed', NULL FROM o WHERE url NOT IN (SELECT url FROM p)"""),
 }

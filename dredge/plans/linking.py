@@ -12,7 +12,7 @@ from dredge.functions.json_links import json_links
 from dredge.functions.pdf_links import pdf_links
 from dredge.functions.xml_links import listing_links, xml_links
 from dredge.operators import extract, fetch, sites
-from dredge.plans.base import HOST_SQL, TARGETS_SQL, table, targets
+from dredge.plans.base import ENCODED_SQL, HOST_SQL, HREFS_SQL, ORIGIN_SQL, TARGETS_SQL, table, targets
 
 
 def outlink_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,5 +147,6 @@ QUERIES = {
     "site_profiles": (site_profiles, """SELECT page_id, ['npr', 'reddit', 'tiktok', 'status', NULL, 'account'][page_id % 6 + 1] AS profile, CASE page_id % 6 WHEN 4 THEN 'https://truthsocial.com/api/v1/statuses/' || page_id END AS status_url, [13, 1, 13, 10, 0, 9][page_id % 6 + 1]::BIGINT AS n_headers FROM pages"""),
     "api_links": (api_links, "SELECT page_id, 'https://truthsocial.com/api/v1/accounts/' || page_id || '/statuses?pinned=true&only_replies=false&with_muted=true' AS pinned, 'https://old.reddit.com/r/' || page_id AS old, 'https://truthsocial.com/api/v1/truth/videos/v' || page_id AS videos FROM pages"),
     "dispatch": (dispatch, "SELECT page_id, ['html', 'json', 'xml', 'css', NULL, NULL, 'm3u8'][page_id % 7 + 1] AS assets, ['html', NULL, NULL, NULL, 'pdf', NULL, NULL][page_id % 7 + 1] AS outlinks FROM pages"),
-    "all_links": (all_links, None),
+    "all_links": (all_links, f"""WITH {HREFS_SQL}, t AS (SELECT *, {ORIGIN_SQL.format('url')} || {ENCODED_SQL.format('href')} AS target FROM hrefs)
+        SELECT url AS page_url, target AS url, 'outlink' AS kind, 'a' AS tag, pos::INT AS pos, 1::INT AS hops FROM t WHERE target <> url"""),
 }

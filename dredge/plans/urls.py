@@ -9,7 +9,7 @@ from dredge.config import CrawlConfig
 from dredge.functions import columns as C
 from dredge.functions.web_url import normalize_url, resolve_url, url_to_string, valid_url
 from dredge.operators import domains, scope
-from dredge.plans.base import HOST_SQL, TARGETS_SQL, hrefs, table, targets
+from dredge.plans.base import ENCODED_SQL, HOST_SQL, HREFS_SQL, ORIGIN_SQL, TARGETS_SQL, hrefs, table, targets
 
 _HOST = HOST_SQL.format("url")
 
@@ -142,7 +142,8 @@ QUERIES = {
     "github_assets": (github_assets, """WITH p AS (SELECT page_id, ['https://github.com/user-attachments/', 'https://avatars.githubusercontent.com/u/', 'https://github.com/a/b/assets/', 'https://github.com/a/b/issues/', 'https://example.com/assets/'][page_id % 5 + 1] || page_id AS link FROM pages)
         SELECT page_id, link, page_id % 5 IN (0, 1, 2) AS asset FROM p"""),
     "unescaped_ampersands": (unescaped, "SELECT page_id, url || '?w=1&s=A' || page_id AS link FROM pages"),
-    "normalized_links": (normalized, None),
+    "normalized_links": (normalized, f"""WITH {HREFS_SQL} SELECT page_id, pos::BIGINT AS pos, {ORIGIN_SQL.format('url')} || {ENCODED_SQL.format('href')} AS url, CAST(NULL AS VARCHAR) AS error FROM hrefs"""),
     "normalized_pages": (normalized_pages, r"SELECT page_id, 'http://' || regexp_replace(regexp_replace(url, '^https?://', ''), '#.*$', '') AS url, CAST(NULL AS VARCHAR) AS error FROM pages"),
-    "resolved_links": (resolved, None),
+    "resolved_links": (resolved, rf"""WITH p AS (SELECT *, string_split(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/') AS l FROM pages)
+        SELECT page_id, {ORIGIN_SQL.format('url')} || '/' || array_to_string(list_concat(l[2:-3], ['x', page_id || '?q#f']), '/') AS link, true AS valid, url AS text FROM p"""),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from dredge.functions import web_url
+from dredge.functions.columns import LOOSE_LINK
 from dredge.functions.css_links import css_links
 from dredge.functions.html_links import LINKS, extract
 from dredge.functions.json_links import json_links
@@ -15,6 +16,13 @@ from dredge.functions.pdf_links import pdf_links
 from dredge.functions.xml_links import xml_links
 
 
+_PARTS = "filter(split({0}, '{1}'), x -> x <> '')"
+_OFTEN = "exists({0}, x -> size(filter({0}, y -> y = x)) > 3)"
+_SEGMENTS, _PAIRS = _PARTS.format("path", "/"), _PARTS.format("query", "&")
+#: The default limits: over three times at all, or twice three times from ten segments on.
+_LOOP = f"{_OFTEN.format(_SEGMENTS)} OR {_OFTEN.format(_PAIRS)} OR (size({_SEGMENTS}) >= 10 AND size(filter(array_distinct({_SEGMENTS}), x -> size(filter({_SEGMENTS}, y -> y = x)) >= 3)) >= 2)"
+
+
 def register(spark: SparkSession) -> list[str]:
     """Register all functions; returns their names."""
 
@@ -40,6 +48,9 @@ def register(spark: SparkSession) -> list[str]:
     for name, f in found.items():
         spark.udf.register(name, f)
     macros = {
+        "link_header": ("value STRING", "ARRAY<STRING>", r"filter(transform(split(value, ', '), x -> regexp_replace(trim(element_at(split(x, ';'), 1)), '^<|>$', '')), x -> x <> '')"),
+        "text_links": ("body STRING", "ARRAY<STRING>", "array_distinct(regexp_extract_all(body, '" + LOOSE_LINK.replace("\\", "\\\\").replace("'", "\\'") + "', 0))"),
+        "has_path_loop": ("path STRING, query STRING", "BOOLEAN", _LOOP),
         "reverse_host": ("hostport STRING", "STRING", r"CASE WHEN hostport RLIKE '^[0-9]{1,3}([.][0-9]{1,3}){3}(:[0-9]+)?$' OR startswith(hostport, '[') THEN hostport ELSE array_join(reverse(split(regexp_replace(lower(regexp_replace(hostport, ':[0-9]*$', '')), '[.]$', ''), '[.]')), '.') || regexp_extract(hostport, '(:[0-9]+)$', 1) END"),
         "decode_hops": ("path STRING", "INT", "regexp_count(path, 'L')"),
         "encode_hops": ("hops INT", "STRING", "repeat('L', hops)"),

@@ -102,6 +102,8 @@ def test_sql_functions(spark):
     names = sql.register(spark)
     assert "normalize_url" in names
     row = spark.sql("SELECT normalize_url('/x', 'http://s.test/a') AS n, reverse_host('a.b.c:80') AS r, decode_hops('LL') AS h, html_outlinks('<a href=\"/y\">', 'http://s.test/') AS o").collect()[0]
+    more = spark.sql("SELECT link_header('<http://a.test>; rel=x, <http://b.test>') AS l, text_links('a http://s.test/x, (https://t.test/)') AS t, has_path_loop('/a/a/a/a', '') AS p, has_path_loop('/a/b/a/b/a/b/c/d/e/f', '') AS q, has_path_loop('/a/a/a', 'x=1&x=1') AS r").collect()[0]
+    assert more["l"] == ["http://a.test", "http://b.test"] and more["t"] == ["http://s.test/x", "https://t.test/)"] and (more["p"], more["q"], more["r"]) == (True, True, False)
     assert row["n"]["url"] == "http://s.test/x" and row["r"] == "c.b.a:80" and row["h"] == 2 and row["o"][0]["url"] == "http://s.test/y"
 
 

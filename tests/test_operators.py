@@ -131,6 +131,8 @@ def test_archive_round_trip(spark, tmp_path):
 
 def test_exposition():
     assert metrics.exposition({"n": 3}, "crawl_", {"job": "j"}) == '# TYPE crawl_n gauge\ncrawl_n{job="j"} 3\n'
+    text = metrics.exposition({"n": 3}, "c_", {"job": "j"}, ("n",), {"ms": [(20.0, 1), (float("inf"), 2)]})
+    assert text.splitlines() == ["# TYPE c_n counter", 'c_n{job="j"} 3', "# TYPE c_ms histogram", 'c_ms_bucket{job="j",le="20.0"} 1', 'c_ms_bucket{job="j",le="+Inf"} 2', 'c_ms_count{job="j"} 2']
 
 
 def test_empty_tables(spark):
