@@ -35,9 +35,14 @@ def authority(url: Column) -> Column:
     return F.regexp_extract(url, _AUTHORITY, 1)
 
 
+def authority_host(at: Column) -> Column:
+    """Host of an authority, without user and port, in lower case."""
+    return F.lower(F.regexp_replace(F.regexp_replace(at, r"^.*@", ""), r":[0-9]*$", ""))
+
+
 def hostname(url: Column) -> Column:
     """Host without user and port, in lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(authority(url), r"^.*@", ""), r":[0-9]*$", ""))
+    return authority_host(authority(url))
 
 
 def path(url: Column) -> Column:

@@ -63,12 +63,14 @@ def matched(urls: DataFrame, patterns: DomainPatterns, column: str = "url") -> D
     if patterns.regexes:
         direct = direct | url.rlike("|".join(f"(?:{p})" for p in patterns.regexes))
     table = _domain_table(urls.sparkSession, patterns)
-    hosts = urls.select(C.hostname(url).alias("__host")).distinct()
-    suffixes = hosts.select("__host", F.explode(C.host_suffixes(F.col("__host"))).alias("domain"))
+    # One regular expression per URL; user and port are rare, and cut off each distinct authority.
+    urls = urls.withColumn("__at", C.authority(url))
+    hosts = urls.select("__at").distinct().withColumn("__host", C.authority_host(F.col("__at")))
+    suffixes = hosts.select("__at", F.explode(C.host_suffixes(F.col("__host"))).alias("domain"))
     side = F.broadcast(table) if small else table
-    hit = written(suffixes.join(side, "domain", "left_semi").select("__host").distinct().withColumn("__hit", F.lit(True)), "hosts")
-    joined = urls.withColumn("__host", C.hostname(url)).join(hit, "__host", "left")
-    return joined.withColumn("matched", F.coalesce(F.col("__hit"), F.lit(False)) | F.coalesce(direct, F.lit(False))).drop("__host", "__hit", "__full")
+    hit = written(suffixes.join(side, "domain", "left_semi").select("__at").distinct().withColumn("__hit", F.lit(True)), "hosts")
+    joined = urls.join(hit, "__at", "left")
+    return joined.withColumn("matched", F.coalesce(F.col("__hit"), F.lit(False)) | F.coalesce(direct, F.lit(False))).drop("__at", "__hit", "__full")
 
 
 def rewrite_hops(outlinks: DataFrame, patterns: DomainPatterns, max_hops: int) -> DataFrame:
