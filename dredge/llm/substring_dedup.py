@@ -97,7 +97,7 @@ def dedup(docs: DataFrame, span: int = SPAN) -> DataFrame:
 
     out = R.with_places(docs, repeated(docs, span)).mapInArrow(run, schema)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast(schema["n_chars"].dataType)).select(docs.columns)
+        out = out.withColumn("n_chars", F.coalesce(F.char_length("text").cast(schema["n_chars"].dataType), "n_chars")).select(docs.columns)
     return out
 
 
