@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from dredge.llm import kernel
+
 _SETTING = "spark.checkpoint.dir"
 
 
@@ -106,6 +108,7 @@ def strings(data: np.ndarray, offs: np.ndarray) -> pa.Array:
 
 def settle() -> None:
     """Give memory that a finished task has freed back to the system: workers are reused and live long."""
+    kernel.release()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)

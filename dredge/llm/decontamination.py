@@ -1,13 +1,16 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised benchmark passages.
 
-Every window of `span` words of a benchmark item (the whole item if it is shorter) is a pattern.
-Each document is normalised once (ASCII letters to lower case, words by a space) and scanned once;
-a hit is a place in words, and `spans` maps it to characters of the original text.
-
-The patterns go to the executors. Their number is the benchmark's number of words, which does not
-grow with the corpus; should a benchmark exceed `BLOCK_PATTERNS`, it is worked off in blocks of that
-many patterns, each with an automaton of its own, so that no task holds more than one block. Rows get
-a key before the blocks, and their hits are merged by it: repeated and null doc_ids stay rows of their own.
+A window is `span` consecutive words of a benchmark item, or the whole of a shorter one. The automaton's
+patterns are grams of GRAM words at every (span - GRAM + 1)-th place of an item, so that every window
+holds one; they take a thirteenth of the memory that the windows themselves would. Each document is
+normalised once (ASCII letters to lower case, words by a space) and scanned once. Where a gram is found,
+its neighbours in the text are compared with those in the item, both ways, and every window that agrees
+is a hit: a place in words, which `spans` maps to characters of the original text.
+
+The items go to the executors. A benchmark does not grow with the corpus; should one exceed BLOCK_WORDS,
+it is worked off in blocks of that many words (some 300 bytes a word in a task), each with an automaton of
+its own. Rows get a key before the blocks, and their hits are merged by it: repeated and null doc_ids stay
+rows of their own.
 
 Null text has no words and no hits. Empty tables give empty results. Items without words are never
 found. Extra columns are ignored by `measure` and kept by `drop_contaminated` and `clean`.
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 
 from dredge.llm.common import settle, written
 
-SPAN = 13
-BLOCK_PATTERNS = 2_000_000
+SPAN, GRAM = 13, 5
+BLOCK_WORDS = 1_000_000
 _KEY = "__row"
 
 #: Bytes that are part of a word keep their value (ASCII letters in lower case), others become a space.
@@ -41,66 +44,79 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_FOLD).split() if text else []
 
 
-def patterns(items: list[tuple], span: int) -> dict[bytes, tuple[int, tuple]]:
-    """Each pattern with its number of words and the ids of the items that have it."""
-    found: dict[bytes, tuple[int, set]] = {}
-    for item_id, text in items:
-        w = words(text)
-        for i in range(max(1, len(w) - span + 1) if w else 0):
-            part = w[i : i + span]
-            found.setdefault(b" " + b" ".join(part) + b" ", (len(part), set()))[1].add(item_id)
-    return {k: (n, tuple(ids)) for k, (n, ids) in found.items()}
+class Matcher:
+    """The automaton of some items, and what it finds."""
+
+    def __init__(self, items: tuple[tuple, ...], span: int) -> None:
+        import ahocorasick
+
+        self.auto = ahocorasick.Automaton()
+        #: Per gram its distinct surroundings: words before it, after it, windows' length, and the items with them.
+        found: dict[bytes, dict[tuple, set]] = {}
+        for item_id, text in items:
+            w = words(text)
+            n = min(span, len(w))
+            k = min(GRAM, n)
+            reach = n - k
+            for i in range(0, len(w) - k + 1 if n else 0, reach + 1):
+                around = (tuple(w[max(0, i - reach) : i]), tuple(w[i + k : i + k + reach]), n)
+                found.setdefault(b" " + b" ".join(w[i : i + k]) + b" ", {}).setdefault(around, set()).add(item_id)
+        for key, places in found.items():
+            self.auto.add_word(key.decode("latin-1"), (len(key), key.count(b" ") - 1, tuple((*x, tuple(ids)) for x, ids in places.items())))
+        if found:
+            self.auto.make_automaton()
+
+    def __len__(self) -> int:
+        return len(self.auto)
+
+    def hits(self, w: list[bytes]) -> tuple[np.ndarray | None, set]:
+        """Mask of the words hit (null if there are none), and the items found."""
+        scanned = b" " + b" ".join(w) + b" "
+        met = [(end + 1 - size, k, places) for end, (size, k, places) in self.auto.iter(scanned.decode("latin-1"))]
+        if not met:
+            return None, set()
+        at = np.cumsum(np.frombuffer(scanned, np.uint8) == 32)[[x[0] for x in met]] - 1
+        edge, items = np.zeros(len(w) + 1, np.int64), set()
+        for j, (_, k, places) in zip(at.tolist(), met, strict=True):
+            for before, after, n, ids in places:
+                left, right = 0, 0
+                while left < len(before) and left < j and w[j - 1 - left] == before[-1 - left]:
+                    left += 1
+                while right < len(after) and j + k + right < len(w) and w[j + k + right] == after[right]:
+                    right += 1
+                if left + k + right >= n:
+                    edge[j - left] += 1
+                    edge[j + k + right] -= 1
+                    items.update(ids)
+        return (np.cumsum(edge[:-1]) > 0, items) if items else (None, items)
 
 
 @lru_cache(maxsize=2)
-def _automaton(block: tuple):
-    import ahocorasick
-
-    auto = ahocorasick.Automaton()
-    for key, value in block:
-        auto.add_word(key.decode("latin-1"), (value[0], len(key), value[1]))
-    if block:
-        auto.make_automaton()
-    return auto
-
-
-def _hits(auto, w: list[bytes]) -> tuple[np.ndarray | None, set]:
-    """Mask of the words hit, and the items found."""
-    scanned = b" " + b" ".join(w) + b" "
-    starts, lens, items = [], [], set()
-    for end, (n, size, ids) in auto.iter(scanned.decode("latin-1")):
-        starts.append(end + 1 - size)
-        lens.append(n)
-        items.update(ids)
-    if not starts:
-        return None, items
-    place = np.cumsum(np.frombuffer(scanned, np.uint8) == 32)[starts] - 1
-    edge = np.zeros(len(w) + 1, np.int64)
-    np.add.at(edge, place, 1)
-    np.add.at(edge, place + np.array(lens), -1)
-    return np.cumsum(edge[:-1]) > 0, items
-
-
-def _blocks(benchmark: DataFrame, span: int) -> Iterator[tuple]:
-    """Blocks of whole items with at most BLOCK_PATTERNS patterns (an item larger than that alone)."""
+def matcher(items: tuple[tuple, ...], span: int) -> Matcher:
+    return Matcher(items, span)
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[tuple, ...]]:
+    """Blocks of whole items with at most BLOCK_WORDS words (an item larger than that alone), words joined by a space."""
     held, size = [], 0
     for row in benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator():
-        n = len(row["text"]) // 2 + 1
-        if held and size + n > BLOCK_PATTERNS * 4:
-            yield tuple(patterns(held, span).items())
+        w = words(row["text"])
+        if held and size + len(w) > BLOCK_WORDS:
+            yield tuple(held)
             held, size = [], 0
-        held.append((row["item_id"], row["text"]))
-        size += n
-    yield tuple(patterns(held, span).items())
+        if w:
+            held.append((row["item_id"], b" ".join(w).decode()))
+            size += len(w)
+    yield tuple(held)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, span: int = SPAN) -> DataFrame:
     """doc_id, n_words, hit (places of hit words), items (ids found), for each document."""
-    blocks = list(_blocks(benchmark, span))
+    blocks = list(_blocks(benchmark))
     if len(blocks) == 1:
-        return _scanned(docs, blocks)
+        return _scanned(docs, blocks, span)
     rows = _keyed(docs.select(F.col("doc_id").cast("long"), "text"))
-    found = _scanned(rows.select(F.col(_KEY).alias("doc_id"), "text"), blocks).withColumnRenamed("doc_id", _KEY)
+    found = _scanned(rows.select(F.col(_KEY).alias("doc_id"), "text"), blocks, span).withColumnRenamed("doc_id", _KEY)
     return rows.drop("text").join(found, _KEY).drop(_KEY)
 
 
@@ -109,7 +125,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return written(docs.withColumn(_KEY, F.monotonically_increasing_id()), "decontamination-rows")
 
 
-def _scanned(docs: DataFrame, blocks: list[tuple]) -> DataFrame:
+def _scanned(docs: DataFrame, blocks: list[tuple], span: int) -> DataFrame:
     """scan() with given blocks; doc_id tells rows apart if there is more than one."""
     ids = pa.int64()
     parts = []
@@ -117,12 +133,12 @@ def _scanned(docs: DataFrame, blocks: list[tuple]) -> DataFrame:
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, shared=shared):
-            auto = _automaton(shared.value)
+            auto = matcher(shared.value, span)
             for batch in batches:
                 n_words, hit, items = [], [], []
                 for text in batch.column(1).to_pylist():
                     w = words(text)
-                    mask, found = _hits(auto, w) if w and len(auto) else (None, ())
+                    mask, found = auto.hits(w) if w and len(auto) else (None, ())
                     n_words.append(len(w))
                     hit.append([] if mask is None else np.flatnonzero(mask).tolist())
                     items.append(sorted(map(str, found)))
@@ -193,12 +209,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, s
 
     With a benchmark of more than one block the keys of contaminated rows are joined instead.
     """
-    blocks = list(_blocks(benchmark, span))
+    blocks = list(_blocks(benchmark))
     if len(blocks) == 1:
-        return _one_pass(docs, blocks[0], share, False)
+        return _one_pass(docs, blocks[0], span, share, False)
     rows = _keyed(docs)
     n_hit = F.size("hit").cast("long")
-    bad = _scanned(rows.select(F.col(_KEY).alias("doc_id"), "text"), blocks).where((n_hit > 0) & (share * n_hit >= F.col("n_words")))
+    bad = _scanned(rows.select(F.col(_KEY).alias("doc_id"), "text"), blocks, span).where((n_hit > 0) & (share * n_hit >= F.col("n_words")))
     return rows.join(bad.select(F.col("doc_id").alias(_KEY)), _KEY, "left_anti").select(docs.columns)
 
 
@@ -210,14 +226,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, share: int =
     is one, is counted anew where text has changed. One narrow pass; with a benchmark of more than one
     block, a written table per scan.
     """
-    blocks = list(_blocks(benchmark, span))
+    blocks = list(_blocks(benchmark))
     if len(blocks) == 1:
-        return _one_pass(docs, blocks[0], share, True)
+        return _one_pass(docs, blocks[0], span, share, True)
     names = docs.columns
     rows = _keyed(docs)
     done, first = [], True
     while True:
-        every = _scanned(rows.select(F.col(_KEY).alias("doc_id"), "text"), blocks)
+        every = _scanned(rows.select(F.col(_KEY).alias("doc_id"), "text"), blocks, span)
         found = written(every.where(F.size("hit") > 0).select(F.col("doc_id").alias(_KEY), "n_words", F.col("hit").alias("__hit")), "decontamination-hits")
         done.append(rows.join(found, _KEY, "left_anti"))
         if first:
@@ -258,19 +274,19 @@ def _cut(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, rows.select(kept).schema)
 
 
-def _one_pass(docs: DataFrame, block: tuple, share: int, cut: bool) -> DataFrame:
+def _one_pass(docs: DataFrame, block: tuple, span: int, share: int, cut: bool) -> DataFrame:
     """Documents that are not contaminated; with `cut` without the words hit in them."""
     shared = docs.sparkSession.sparkContext.broadcast(block)
     place = docs.columns.index("text")
 
     def run(batches):
-        auto = _automaton(shared.value)
+        auto = matcher(shared.value, span)
         for batch in batches:
             keep, changed = [], []
             texts = batch.column(place).to_pylist()
             for i, text in enumerate(texts):
                 w = words(text)
-                mask, _ = _hits(auto, w) if w and len(auto) else (None, ())
+                mask, _ = auto.hits(w) if w and len(auto) else (None, ())
                 n = 0 if mask is None else int(mask.sum())
                 keep.append(not (n and share * n >= len(w)))
                 if cut and n and keep[-1]:
@@ -278,7 +294,7 @@ def _one_pass(docs: DataFrame, block: tuple, share: int, cut: bool) -> DataFrame
                     while mask is not None:
                         texts[i] = without(texts[i], np.flatnonzero(mask).tolist())
                         w = words(texts[i])
-                        mask, _ = _hits(auto, w) if w else (None, ())
+                        mask, _ = auto.hits(w) if w else (None, ())
             new = pa.RecordBatch.from_arrays(_changed(batch, texts, changed), batch.schema.names)
             yield new.filter(pa.array(keep, pa.bool_()))
         settle()

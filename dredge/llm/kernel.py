@@ -52,6 +52,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _pow_cache["up"], _pow_cache["down"]
 
 
+def release(most: int = 4 << 20) -> None:
+    """Forget the powers if a very long text made them many."""
+    if len(_pow_cache.get("up", ())) > most:
+        _pow_cache.clear()
+
+
 def column_bytes(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

@@ -16,6 +16,9 @@ anchors, so only about one row per (span - k + 2) / 2 units is ever shuffled:
     HOT distinct runs is salted: its windows go to a native minimum per window instead of a task.
 4.  Places of covered windows return to their documents, and neighbours join to maximal spans.
 
+Equality is told by hashes: runs by 128 bits (anchor and content), the windows of a slab by 64. A slab of
+w windows mixes two of them up with a chance of w**2 / 2**65, 10**-7 at two million; nothing else is inexact.
+
 Places carry 32 bits of the run's content, so that rows which repeat a doc_id with another text only
 take what is theirs. Rows without doc_id take no part: nothing of them is covered and they cover
 nothing. Null and empty texts have no windows.

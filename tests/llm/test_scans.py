@@ -1,7 +1,10 @@
 """Decontamination, extraction, archives, language and toxicity."""
 
+import html
 import io
+import os
 import random
+import re
 import zipfile
 
 import pytest
@@ -12,9 +15,9 @@ from dredge.llm import html_extraction as H
 from dredge.llm import language_id, toxicity, warc
 
 
-@pytest.mark.parametrize("block", [2_000_000, 1])
+@pytest.mark.parametrize("block", [1_000_000, 1])
 def test_decontamination(spark, monkeypatch, block):
-    monkeypatch.setattr(D, "BLOCK_PATTERNS", block)
+    monkeypatch.setattr(D, "BLOCK_WORDS", block)
     rng = random.Random(3)
     w = [f"q{i}" for i in range(12)] + ["É", "x9"]
     items = [(i, " ".join(rng.choices(w, k=rng.randint(1, 30)))) for i in range(12)] + [(50, ""), (51, None), (52, "..."), (10, "q1, Q2")]
@@ -30,10 +33,10 @@ def test_decontamination(spark, monkeypatch, block):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, _ in docs} - bad and kept.columns == ["doc_id", "text", "hit"]
 
 
-@pytest.mark.parametrize("block", [2_000_000, 1])
+@pytest.mark.parametrize("block", [1_000_000, 1])
 def test_repeated_ids(spark, monkeypatch, block):
     """Rows that repeat a doc_id, or have none, are rows of their own with any number of blocks."""
-    monkeypatch.setattr(D, "BLOCK_PATTERNS", block)
+    monkeypatch.setattr(D, "BLOCK_WORDS", block)
     items = [(1, "a b c"), (2, "d e"), (3, "f g h")]
     docs = [(1, "x a b c"), (1, "plain words"), (1, "plain words"), (2, "d e, f g h"), (None, "d e"), (None, "other words"), (None, None), (2, "d e y")]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
@@ -44,11 +47,11 @@ def test_repeated_ids(spark, monkeypatch, block):
     assert sorted(map(repr, map(tuple, kept))) == sorted(repr(d) for d, w in zip(docs, want, strict=True) if not w[-1])
 
 
-@pytest.mark.parametrize("block", [2_000_000, 1])
+@pytest.mark.parametrize("block", [1_000_000, 1])
 def test_passages_are_cut(spark, tmp_path, monkeypatch, block):
     import corpus_pipeline
 
-    monkeypatch.setattr(D, "BLOCK_PATTERNS", block)
+    monkeypatch.setattr(D, "BLOCK_WORDS", block)
     rng = random.Random(12)
     text = lambda n: " ".join(f"q{rng.getrandbits(40):x}" for _ in range(n))
     items = [(i, text(n)) for i, n in enumerate((15, 20, 8))]
@@ -83,6 +86,19 @@ def test_main_text():
     assert H.main_text("<article><p>cut off in the mid") == "cut off in the mid"
 
 
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/pages.parquet"), reason="no test tables")
+def test_articles_of_pages(spark):
+    """Every page of the smallest table gives its article's blocks, read off its markup by plain splitting."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in H.extract(pages).collect()}
+    rows = pages.collect()
+    for r in rows:
+        article = re.search(r"<article>(.*?)(?:</article>|$)", r["html"], re.S)[1].replace("<br>", " ")
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]+>", "", x)).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+        assert got[r["page_id"]] == "\n".join(x for x in blocks if x)
+    assert len(got) == len(rows)
+
+
 def _plain_page(sizes, tag="div", wrap=True):
     """A page without telling names: a menu of links, text blocks of these sizes, a last line."""
     body = "".join(f"<{tag}>{'x' * n}</{tag}>" for n in sizes)
