@@ -167,6 +167,23 @@ def text_links(text: Column, strict: bool = False) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(STRICT_LINK if strict else LOOSE_LINK), F.lit(0)))
 
 
+#: Bytes that end the scan of a body if one word has more, and the shortest word that can be a link.
+WORD_BYTES, WORD_CHARS = 64 << 10, 10
+
+
+def body_links(text: Column, strict: bool = False) -> Column:
+    """Distinct links of a body, word by word: loosely only words with :// that aren't short; a huge word ends the scan."""
+    words = F.split(text, r"\s+")
+    huge = F.array_position(F.transform(words, lambda w: F.octet_length(w) > WORD_BYTES), True)
+    words = F.when(huge > 0, F.slice(words, 1, (huge - 1).cast("int"))).otherwise(words)
+    if strict:
+        words = F.filter(words, lambda w: w.contains("://"))
+    else:
+        words = F.filter(words, lambda w: w.contains("://") & (F.length(w) >= WORD_CHARS))
+    pattern = F.lit(STRICT_LINK if strict else LOOSE_LINK)
+    return F.array_distinct(F.flatten(F.transform(words, lambda w: F.regexp_extract_all(w, pattern, F.lit(0)))))
+
+
 def quoted_links(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(QUOTED_LINK), F.lit(1))
 

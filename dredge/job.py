@@ -9,6 +9,7 @@ lost executor costs a task. Bodies are joined last and dropped first.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +45,9 @@ class CrawlResult:
 class CrawlJob:
     """Crawl from seeds (value) with a fetcher; assets are crawled in the round after their page's."""
 
-    def __init__(self, spark: SparkSession, config: CrawlConfig, fetcher: Fetcher, folder: str | None = None) -> None:
-        self.spark, self.config, self.fetcher = spark, config, fetcher
+    def __init__(self, spark: SparkSession, config: CrawlConfig, fetcher: Fetcher, folder: str | None = None, reload: Callable[[CrawlConfig], CrawlConfig] | None = None) -> None:
+        """reload, if given, gives the settings of the next round, such as exclusions that have changed."""
+        self.spark, self.config, self.fetcher, self.reload = spark, config, fetcher, reload
         self.folder = f"{(folder or store.folder(spark)).rstrip('/')}/crawl-{uuid.uuid4().hex}"
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -126,6 +128,8 @@ class CrawlJob:
         known = spark.createDataFrame([], "url string, kind string")
         number = 0
         while number < c.max_rounds and (waiting := queue.count()):
+            if self.reload is not None:
+                c = self.config = self.reload(c)
             picked, rest = queue, None
             if waiting > c.batch:
                 picked = self._keep(queue.orderBy("hops", "raw").limit(c.batch), f"picked-{number}")

@@ -107,7 +107,7 @@ def links(responses: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFram
     header = marked.where(F.element_at("headers", "link").isNotNull())
     parts.append(flat(header, _typed(C.link_header(F.element_at("headers", "link")), "outlink", "header"), 1))
     plain = marked.where(F.lower(F.coalesce(F.element_at("headers", "content-type"), F.col("mime"))).contains("text/") & text.contains("://"))
-    parts.append(flat(plain, _typed(C.text_links(text, config.strict_regex), "outlink", "text"), 2))
+    parts.append(flat(plain, _typed(C.body_links(text, config.strict_regex), "outlink", "text"), 2))
 
     every = parts[0]
     for p in parts[1:]:

@@ -139,6 +139,16 @@ def running_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(C.text_links(text), " ").alias("loose"), F.array_join(C.text_links(text, True), " ").alias("strict"))
 
 
+_BODIES = [
+    ("see http://s.test/a, http://s.test/b and\nhttp://s.test/a ", "http://s.test/a http://s.test/b"), ("x://a.b ftp://s.test/long http://a.b", "http://a.b"), ("http://s.test/1 " + "x" * 70_000 + " http://s.test/2", "http://s.test/1"), ("", ""),
+]
+
+
+def body_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of bodies word by word, up to a word that is too long."""
+    return table(spark, sf_dir, "pages").select("page_id", F.array_join(C.body_links(_pick([c[0] for c in _BODIES])), " ").alias("links"))
+
+
 _SITES = [
     ("https://www.npr.org/1", "npr", 13, None, None), ("https://npr.org", None, 0, None, None), ("https://old.reddit.com/r/1", "reddit", 1, None, None), ("https://www.tiktok.com/@x", "tiktok", 13, None, None),
     ("https://truthsocial.com/api/v1/statuses/12?x=1", "status", 10, None, None), ("https://truthsocial.com/api/v1/statuses/12", "status", 10, "status", None), ("https://truthsocial.com/api/v1/truth/videos/ab1", "status", 10, None, None),
@@ -339,6 +349,7 @@ QUERIES = {
     "markup_links": (markup_links, f"SELECT page_id, {_same('assets', [c[1] for c in _MARKUP])}, {_same('outlinks', [c[2] for c in _MARKUP])}, {_same('imports', [c[3] for c in _MARKUP])} FROM pages"),
     "disabled_markup": (disabled_markup, """SELECT page_id, 'http://s.test/d/four' AS off_assets, 'http://s.test/d/three' AS off_outlinks, 'http://s.test/static/two http://s.test/d/five http://s.test/d/six' AS on_assets, 'http://s.test/d/one http://s.test/static/two http://s.test/?q=%E9' AS on_outlinks FROM pages"""),
     "running_links": (running_links, f"SELECT page_id, {_same('loose', [c[1] for c in _RUNNING])}, {_same('strict', [c[2] for c in _RUNNING])} FROM pages"),
+    "body_links": (body_links, f"SELECT page_id, {_same('links', [c[1] for c in _BODIES])} FROM pages"),
     "site_rules": (site_rules, f"SELECT page_id, {_same('profile', [c[1] for c in _SITES])}, {_same('n_headers', [c[2] for c in _SITES], 'BIGINT')}, {_sql([c[1] for c in _SITES])} IS NOT DISTINCT FROM 'account' AS asks_json, {_same('assets', [c[3] for c in _SITES])}, {_same('outlinks', [c[4] for c in _SITES])} FROM pages"),
     "xml_routes": (xml_routes, f"SELECT page_id, {_same('store', [c[1] for c in _STORES])}, {_same('sitemap', [c[1] for c in _SITEMAPS], 'BOOLEAN')}, CASE WHEN page_id % 3 = 0 THEN 'css' END AS css FROM pages"),
     "mixed_links": (mixed_links, _MIXED_SQL),

@@ -1,19 +1,24 @@
 """Python data source for archives of captures: WARC 1.1, one gzip member per record.
 
 Write: df (url, body, digest, revisit_of, captured_at seconds) with `.write.format("crawl_archive")
-.option("path", folder)`. Each task writes files of at most `max_bytes`; names hold the task attempt, and
-a file becomes visible by a rename when its task commits. Read: `.read.format("crawl_archive").load(folder)`.
+.option("path", folder)`. Each task writes files of at most `max_bytes`, named with `prefix`, each with a
+warcinfo record first if an `operator` is given; they become visible by a rename when the job commits. `digest`
+(sha1, sha256 or none) is taken of bodies that come without one. Rows whose discard_reason, if there is such
+a column, isn't null are not written. Read: `.read.format("crawl_archive").load(folder)`.
+
+Folders are local paths or addresses of any store that Arrow opens (file, hdfs, s3, gs).
 """
 
 from __future__ import annotations
 
 import gzip
-import os
+import hashlib
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import UTC, datetime
 
+from pyarrow import fs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -25,7 +30,7 @@ def encode(url: str, body: bytes | None, digest: str | None, revisit_of: str | N
     block = b"" if revisit_of else bytes(body or b"")
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit_of else 'resource'}", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Target-URI: {url}", f"WARC-Date: {date}"]
     if digest:
-        head.append(f"WARC-Payload-Digest: sha256:{digest}")
+        head.append(f"WARC-Payload-Digest: {digest if ':' in digest else f'sha256:{digest}'}")
     if revisit_of:
         head += [f"WARC-Refers-To-Target-URI: {revisit_of}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     head += ["Content-Type: application/octet-stream", f"Content-Length: {len(block)}"]
@@ -37,22 +42,42 @@ class Written(WriterCommitMessage):
     files: list[tuple[str, str]]
 
 
+def info(operator: str) -> bytes:
+    """The record that says who wrote a file."""
+    block = f"operator: {operator}\r\nformat: WARC File Format 1.1\r\n".encode()
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return gzip.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
+
+
 class ArchiveWriter(DataSourceWriter):
     def __init__(self, options: dict[str, str]) -> None:
-        self.folder = options["path"].removeprefix("file://")
+        self.folder = options["path"].rstrip("/")
         self.limit = int(options.get("max_bytes", 1 << 30))
+        self.prefix, self.operator, self.digest = options.get("prefix", ""), options.get("operator", ""), options.get("digest", "none").lower()
+        if self.digest not in ("none", "sha1", "sha256"):
+            raise ValueError(f"unknown digest: {self.digest}")
 
     def write(self, rows: Iterator) -> Written:
-        os.makedirs(self.folder, exist_ok=True)
+        store, folder = fs.FileSystem.from_uri(self.folder)
+        store.create_dir(folder, recursive=True)
         files, out, size = [], None, 0
         for r in rows:
+            have = r.asDict()
+            if have.get("discard_reason"):
+                continue
             if out is None or size > self.limit:
                 if out:
                     out.close()
-                name = f"{self.folder}/{uuid.uuid4().hex}.warc.gz"
+                name = f"{folder}/{self.prefix}{uuid.uuid4().hex}.warc.gz"
                 files.append((f"{name}.open", name))
-                out, size = open(f"{name}.open", "wb"), 0  # noqa: SIM115
-            raw = encode(r["url"], r["body"], r["digest"], r["revisit_of"], r["captured_at"])
+                out, size = store.open_output_stream(f"{name}.open", compression=None), 0
+                if self.operator:
+                    out.write(info(self.operator))
+            digest = have.get("digest")
+            if digest is None and self.digest != "none" and have.get("body") is not None:
+                digest = f"{self.digest}:{hashlib.new(self.digest, bytes(have['body'])).hexdigest()}"
+            raw = encode(have["url"], have["body"], digest, have.get("revisit_of"), have.get("captured_at"))
             out.write(raw)
             size += len(raw)
         if out:
@@ -60,15 +85,17 @@ class ArchiveWriter(DataSourceWriter):
         return Written(files)
 
     def commit(self, messages: list[Written | None]) -> None:
+        store, _ = fs.FileSystem.from_uri(self.folder)
         for m in messages:
             for a, b in m.files if m else ():
-                os.replace(a, b)
+                store.move(a, b)
 
     def abort(self, messages: list[Written | None]) -> None:
+        store, _ = fs.FileSystem.from_uri(self.folder)
         for m in messages:
             for a, _ in m.files if m else ():
-                if os.path.exists(a):
-                    os.unlink(a)
+                if store.get_file_info(a).type == fs.FileType.File:
+                    store.delete_file(a)
 
 
 @dataclass
@@ -78,13 +105,15 @@ class ArchiveFile(InputPartition):
 
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
-        self.folder = options["path"].removeprefix("file://")
+        self.folder = options["path"].rstrip("/")
 
     def partitions(self) -> list[InputPartition]:
-        return [ArchiveFile(f"{self.folder}/{x}") for x in sorted(os.listdir(self.folder)) if x.endswith(".warc.gz")]
+        store, folder = fs.FileSystem.from_uri(self.folder)
+        return [ArchiveFile(x.path) for x in sorted(store.get_file_info(fs.FileSelector(folder)), key=lambda x: x.path) if x.path.endswith(".warc.gz")]
 
     def read(self, partition: ArchiveFile) -> Iterator[tuple]:
-        with gzip.open(partition.path, "rb") as f:
+        store, _ = fs.FileSystem.from_uri(self.folder)
+        with store.open_input_stream(partition.path, compression=None) as raw, gzip.open(raw, "rb") as f:
             while line := f.readline():
                 if not line.startswith(b"WARC/"):
                     continue
@@ -93,6 +122,8 @@ class ArchiveReader(DataSourceReader):
                     k, _, v = line.decode().partition(":")
                     head[k.strip().lower()] = v.strip()
                 body = f.read(int(head["content-length"]))
+                if head["warc-type"] == "warcinfo":
+                    continue
                 late = head["warc-type"] == "revisit"
                 when = int(datetime.strptime(head["warc-date"], "%Y-%m-%dT%H:%M:%SZ").replace(tzinfo=UTC).timestamp())
                 digest = head.get("warc-payload-digest", "").removeprefix("sha256:") or None

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+import urllib.request
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,11 +18,29 @@ def list_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.withColumn(column, trimmed).where((F.col(column) != "") & ~F.col(column).startswith("#"))
 
 
+#: Bytes of a list that is fetched from a server, at most; a longer one is an error.
+REMOTE_BYTES = 64 << 20
+
+
+def text_lines(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Lines (value) of files, and of lists that a server gives; those are small and go through the driver."""
+    remote = [p for p in paths if re.match(r"(?i)https?://", p)]
+    local = [p for p in paths if p not in remote]
+    found = [spark.read.text(local)] if local else []
+    for url in remote:
+        with urllib.request.urlopen(url, timeout=60) as answer:  # noqa: S310
+            body = answer.read(REMOTE_BYTES + 1)
+        if len(body) > REMOTE_BYTES:
+            raise ValueError(f"list of more than {REMOTE_BYTES} bytes: {url}")
+        found.append(spark.createDataFrame([(x,) for x in body.decode("utf-8", "replace").splitlines()], "value string"))
+    return reduce(DataFrame.unionByName, found)
+
+
 def read_list(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """URLs of list files; at least one file must be given."""
+    """URLs of list files, on disk or on servers; at least one must be given."""
     if not paths:
         raise ValueError("no list given")
-    return list_lines(spark.read.text(paths))
+    return list_lines(text_lines(spark, paths))
 
 
 def from_urls(spark: SparkSession, urls: list[str]) -> DataFrame:
@@ -42,7 +62,7 @@ def read_exclusions(spark: SparkSession, paths: list[str], skip_broken: bool = F
     (skip_broken) its file is left out instead. Read again each round for live reload."""
     found: list[str] = []
     for path in paths:
-        lines = [r["value"] for r in list_lines(spark.read.text(path)).collect()]
+        lines = [r["value"] for r in list_lines(text_lines(spark, [path])).collect()]
         try:
             for x in lines:
                 re.compile(x)
@@ -56,7 +76,7 @@ def read_exclusions(spark: SparkSession, paths: list[str], skip_broken: bool = F
 
 def read_patterns(spark: SparkSession, paths: list[str]) -> list[str]:
     """Domain patterns, line by line as they are."""
-    return [r["value"] for r in spark.read.text(paths).collect()]
+    return [r["value"] for r in text_lines(spark, paths).collect()]
 
 
 _PAIR = r'([A-Za-z_][A-Za-z0-9_.\-]*)=("(?:\\.|[^"\\])*"|[^\s"]*)'

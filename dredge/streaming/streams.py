@@ -9,11 +9,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from dredge.operators.ratelimit import Bucket, fresh
+from dredge.sources.lists import list_lines
 
 
 def seen_stream(urls: DataFrame) -> DataFrame:
@@ -71,6 +73,37 @@ def sliding_stream(events: DataFrame, ts: str, size: str, step: str, *keys: str,
     return events.withWatermark(ts, late).groupBy(F.window(ts, size, step).alias("w"), *keys).agg(F.count("*").alias("n"))
 
 
+def session_stream(events: DataFrame, ts: str, gap: str, *keys: str, late: str = "10 seconds") -> DataFrame:
+    """Events per session of a key: a session ends when nothing comes for `gap`."""
+    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n"))
+
+
+def url_stream(spark: SparkSession, folder: str, files: int = 16) -> DataFrame:
+    """Stream of the URLs (value) of list files that appear in a folder, at most `files` of them a micro-batch."""
+    return list_lines(spark.readStream.option("maxFilesPerTrigger", files).text(folder))
+
+
+class Pausable:
+    """A query that can be paused: it is stopped, and starts again from its checkpoint."""
+
+    def __init__(self, start: Callable[[], StreamingQuery]) -> None:
+        self._start = start
+        self.query: StreamingQuery | None = start()
+
+    @property
+    def paused(self) -> bool:
+        return self.query is None
+
+    def pause(self) -> None:
+        if self.query is not None:
+            self.query.stop()
+            self.query = None
+
+    def resume(self) -> None:
+        if self.query is None:
+            self.query = self._start()
+
+
 def producer(stream: DataFrame, add: Callable[[DataFrame, int], None], every: str = "1 second", checkpoint: str | None = None):
     """Hand micro-batches of discovered URLs to `add`, at most one each `every`."""
     writer = stream.writeStream.foreachBatch(add).trigger(processingTime=every)

@@ -94,6 +94,35 @@ def test_revisits_and_schedule(spark):
     assert sorted(r["start"] for r in job.schedule(result.captures).collect()) == [0.0, 0.0, 1.0]
 
 
+def test_reload(spark, responses):
+    """Exclusions that change between rounds hold from the next round on."""
+    import dataclasses
+
+    rounds = []
+    job = CrawlJob(spark, CrawlConfig(max_hops=2), ReplayFetcher(responses), reload=lambda c: (rounds.append(1), dataclasses.replace(c, exclusions=("/two$",) if len(rounds) > 1 else ()))[1])
+    got = {r["url"] for r in job.run(spark.createDataFrame([("http://site.test/",)], "value string")).captures.where("result = 'archived'").collect()}
+    assert "http://site.test/three" in got and "http://site.test/two" not in got
+
+
+def test_url_stream(spark, tmp_path):
+    """Lists that appear in a folder, handed to a producer; paused and resumed from its checkpoint."""
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("# note\nhttp://a.test/\n")
+    found: list[str] = []
+    start = lambda: streams.producer(streams.url_stream(spark, str(tmp_path / "in"), 1), lambda df, _: found.extend(r["value"] for r in df.collect()), "0 seconds", str(tmp_path / "c"))
+    running = streams.Pausable(start)
+    running.query.processAllAvailable()
+    running.pause()
+    assert running.paused and found == ["http://a.test/"]
+    (tmp_path / "in" / "b.txt").write_text("http://b.test/\n")
+    running.resume()
+    running.query.processAllAvailable()
+    running.pause()
+    assert found == ["http://a.test/", "http://b.test/"]
+    events = spark.createDataFrame([("h", "2024-01-01 00:00:00"), ("h", "2024-01-01 00:00:03"), ("h", "2024-01-01 00:01:00")], "host string, t string").selectExpr("host", "cast(t as timestamp) ts")
+    assert sorted(r["n"] for r in streams.session_stream(events, "ts", "10 seconds", "host").collect()) == [1, 2]
+
+
 def test_batches(spark, responses):
     assert crawl(spark, responses, ["http://site.test/"], max_hops=1, batch=1) == {"site.test/": 0, "site.test/one": 1, "other.test/": 1, "site.test/pic.png": 0}
 

@@ -129,6 +129,52 @@ def test_archive_round_trip(spark, tmp_path):
     assert bytes(got["http://c.test/"]["body"]) == b"" and got["http://c.test/"]["captured_at"] == 7
 
 
+def test_archive_options(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    rows = [("http://a.test/", bytearray(b"body"), None, None, 5, None), ("http://b.test/", bytearray(b"gone"), None, None, 6, "status")]
+    df = spark.createDataFrame(rows, "url string, body binary, digest string, revisit_of string, captured_at long, discard_reason string").coalesce(1)
+    spark.dataSource.register(CrawlArchive)
+    df.write.format("crawl_archive").mode("append").option("path", f"file://{tmp_path}/w").option("prefix", "P-").option("operator", "me").option("digest", "sha1").save()
+    [file] = (tmp_path / "w").iterdir()
+    assert file.name.startswith("P-") and b"operator: me" in gzip.open(file).read()
+    [row] = spark.read.format("crawl_archive").option("path", f"file://{tmp_path}/w").load().collect()
+    assert row["url"] == "http://a.test/" and row["digest"] == "sha1:" + hashlib.sha1(b"body").hexdigest()
+
+
+def test_remote_lists(spark, tmp_path):
+    import functools
+    import http.server
+    import threading
+
+    (tmp_path / "l.txt").write_text("# note\nhttp://a.test/\n\nhttp://b.test/\n")
+    quiet = type("Quiet", (http.server.SimpleHTTPRequestHandler,), {"log_message": lambda *a: None})
+    server = http.server.HTTPServer(("127.0.0.1", 0), functools.partial(quiet, directory=str(tmp_path)))
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}/l.txt"
+    assert [r[0] for r in lists.read_list(spark, [url, str(tmp_path / "l.txt")]).collect()] == ["http://a.test/", "http://b.test/"] * 2
+    assert lists.read_exclusions(spark, [url]) == ("http://a.test/", "http://b.test/")
+    assert lists.read_patterns(spark, [str(tmp_path / "l.txt")])[1] == "http://a.test/"
+    server.shutdown()
+
+
+def test_frontier_source(spark):
+    from dredge.sources.frontier_source import TableFrontier
+
+    rows = spark.createDataFrame([(str(i), f"u{i}", None, i % 2, "FRESH", i) for i in range(5)], FRONTIER)
+    queue = TableFrontier(spark, rows)
+    queue.start()
+    first = queue.pull(2, 50)
+    assert [r["id"] for r in first.collect()] == ["0", "2"] and queue.rows.where("status = 'CLAIMED'").count() == 2
+    queue.push(spark.createDataFrame([("9", "u1", None, 0, "FRESH", 1), ("8", "u8", None, 0, "FRESH", 1)], FRONTIER))
+    queue.finish(first.limit(1))
+    with pytest.raises(KeyError):
+        queue.finish(spark.createDataFrame([("none",)], "id string"))
+    queue.stop(60)
+    assert {(r["id"], r["status"]) for r in queue.rows.collect()} == {("1", "FRESH"), ("2", "FRESH"), ("3", "FRESH"), ("4", "FRESH"), ("8", "FRESH")}
+
+
 def test_exposition():
     assert metrics.exposition({"n": 3}, "crawl_", {"job": "j"}) == '# TYPE crawl_n gauge\ncrawl_n{job="j"} 3\n'
     text = metrics.exposition({"n": 3}, "c_", {"job": "j"}, ("n",), {"ms": [(20.0, 1), (float("inf"), 2)]})
