@@ -108,7 +108,7 @@ def _edited(docs: DataFrame) -> DataFrame:
 def simhash(rows: DataFrame, keys: list[str], text: str, more: list[str] | None = None) -> DataFrame:
     """keys, more, and hi and lo, the 128 bits of the fingerprint (0 without terms).
 
-    keys identify a row, more are further columns of it. If rows are partitioned by some of the keys no
+    keys identify a row, more are further columns of it, longs all, as Spark sorts the terms for any other kind. If rows are partitioned by some of the keys no
     shuffle is needed.
     """
     more = more or []
@@ -146,14 +146,15 @@ def measure(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     n_within is the number of documents with a fingerprint within the radius of this document's, itself
     included, for the stated queries: every document whose id is divisible by 100; null for others.
     """
-    no_sha = F.lit(None).cast("string")
-    versions = F.array(
-        F.struct(F.lit(0).alias("k"), F.col("text").alias("t"), no_sha.alias("sha")), F.struct(F.lit(1).alias("k"), F.col("edited").alias("t"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha"))
-    )
-    both = _edited(docs).select("b", "rn", "doc_id", "n_chars", F.explode(versions).alias("v")).select("b", "rn", "doc_id", "n_chars", "v.k", "v.t", "v.sha")
-    prints = written(simhash(both, ["b", "rn", "k"], "t", ["doc_id", "n_chars", "sha"]), "fingerprints")
+    versions = F.array(F.struct(F.lit(0).alias("k"), F.col("text").alias("t")), F.struct(F.lit(1).alias("k"), F.col("edited").alias("t")))
+    both = _edited(docs).select("b", "rn", "doc_id", "n_chars", F.explode(versions).alias("v")).select("b", "rn", "doc_id", "n_chars", "v.k", "v.t")
+    # The digest of the edited text in four longs.
+    digest = F.when(F.col("k") == 1, F.sha2(F.col("t").cast("binary"), 256))
+    parts_of = [f"s{i}" for i in range(4)]
+    both = both.withColumn("sha", digest).select("*", *(F.conv(F.substring("sha", 16 * i + 1, 16), 16, -10).cast("long").alias(x) for i, x in enumerate(parts_of))).drop("sha")
+    prints = written(simhash(both, ["b", "rn", "k"], "t", ["doc_id", "n_chars", *parts_of]), "fingerprints")
     own = prints.where("k = 0").select("b", F.col("rn").alias("at"), "doc_id", "n_chars", F.struct("hi", "lo").alias("own"))
-    edited = prints.where("k = 1").select("b", F.col("rn").alias("at"), F.col("sha").alias("edited_sha256"), F.struct("hi", "lo").alias("ed"))
+    edited = prints.where("k = 1").select("b", F.col("rn").alias("at"), F.lower(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in parts_of))).alias("edited_sha256"), F.struct("hi", "lo").alias("ed"))
     known = prints.where("k = 0").groupBy("hi", "lo").agg(F.count("*").alias("documents"))
     queries = prints.where("k = 0 and doc_id % 100 = 0").select("hi", "lo").distinct()
     found = within(known, queries, radius).join(known, ["hi", "lo"]).groupBy("q_hi", "q_lo").agg(F.sum("documents").alias("n_within"))
