@@ -6,10 +6,14 @@ with `fetch(urls) -> responses` can stand in for it.
 
 from __future__ import annotations
 
+import gzip
+import zlib
 from typing import Protocol
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from dredge.config import CrawlConfig
 from dredge.functions import columns as C
@@ -76,6 +80,21 @@ def retain(body: Column, mime_: Column) -> Column:
     return F.when(C.keeps_body(mime_), body)
 
 
+@F.pandas_udf(T.BinaryType())
+def gunzip(body: pd.Series) -> pd.Series:
+    """Bodies that are gzip members, opened; others, and broken ones, as they are."""
+
+    def opened(b: bytes | None) -> bytes | None:
+        if b is None or bytes(b[:2]) != b"\x1f\x8b":
+            return b
+        try:
+            return gzip.decompress(bytes(b))
+        except (OSError, EOFError, zlib.error):
+            return b
+
+    return body.map(opened)
+
+
 def capped_body(body: Column, max_bytes: int) -> Column:
     """struct(body, truncated): at most max_bytes of a body whose length wasn't declared; all of it if the limit is 0."""
     long = F.octet_length(body) > max_bytes if max_bytes > 0 else F.lit(False)

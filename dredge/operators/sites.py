@@ -128,6 +128,12 @@ def post_status(url: Column) -> Column:
     return F.when(found != "", F.concat(F.lit("https://truthsocial.com/api/v1/statuses/"), found))
 
 
+def embedded_post(url: Column) -> Column:
+    """Address that shows a post of one site by itself, or null."""
+    post = url.contains("www.facebook.com") & url.contains("/posts/") & ~url.contains("/plugins/post.php")
+    return F.when(post, F.concat(F.lit("https://www.facebook.com/plugins/post.php?href="), F.url_encode(url), F.lit("&show_text=true")))
+
+
 def repair_assets(links: DataFrame, page: str = "page_url") -> DataFrame:
     """Escaped ampersands in the assets of pages of one site are undone; what can't be decoded stays."""
     from dredge.functions.columns import unescape_ampersands

@@ -57,6 +57,11 @@ def dedupe(items: DataFrame) -> DataFrame:
     return seeds.unionByName(kids)
 
 
+def roots(deep: DataFrame) -> DataFrame:
+    """(item_id, root) of items with path: the seed that an item hangs from."""
+    return deep.select("item_id", F.substring_index("path", "/", 1).alias("root"))
+
+
 def has_work() -> Column:
     return ~F.col("status").isin(*FINAL)
 

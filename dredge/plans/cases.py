@@ -285,6 +285,25 @@ def long_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", C.discard_reason(F.lit(200), headers, (), 1).alias("reason"), F.octet_length(cut["body"]).cast("long").alias("n_bytes"), cut["truncated"].alias("truncated"))
 
 
+#: A gzip member of the word `hello`, one that is cut off, and a plain body.
+_ZIPPED = ["1F8B0800000000000203CB48CDC9C907008 6A6103605000000".replace(" ", ""), "1F8B0800", "706C61696E", None]
+
+
+_POSTS = [
+    ("https://www.facebook.com/a/posts/1?x=y z", "https://www.facebook.com/plugins/post.php?href=https%3A%2F%2Fwww.facebook.com%2Fa%2Fposts%2F1%3Fx%3Dy+z&show_text=true"),
+    ("https://www.facebook.com/plugins/post.php?href=/posts/1", None), ("https://www.facebook.com/a", None), ("https://facebook.com/a/posts/1", None),
+]
+
+
+def embedded_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", sites.embedded_post(_pick([c[0] for c in _POSTS])).alias("embed"))
+
+
+def opened_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.unhex(_pick(_ZIPPED))
+    return table(spark, sf_dir, "pages").select("page_id", F.hex(fetch.gunzip(body)).alias("body"))
+
+
 def domain_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of JSON bodies: strings inside strings, keys left out, broken bodies."""
     bodies = ['{"a": "http://s.test/x.js", "b": ["see http://s.test/y now", "{\\"c\\": \\"http://s.test/z\\"}"], "http://key.test/": 1}', "nothing", '["https://s.test/p.png"]']
@@ -349,6 +368,8 @@ QUERIES = {
     "markup_links": (markup_links, f"SELECT page_id, {_same('assets', [c[1] for c in _MARKUP])}, {_same('outlinks', [c[2] for c in _MARKUP])}, {_same('imports', [c[3] for c in _MARKUP])} FROM pages"),
     "disabled_markup": (disabled_markup, """SELECT page_id, 'http://s.test/d/four' AS off_assets, 'http://s.test/d/three' AS off_outlinks, 'http://s.test/static/two http://s.test/d/five http://s.test/d/six' AS on_assets, 'http://s.test/d/one http://s.test/static/two http://s.test/?q=%E9' AS on_outlinks FROM pages"""),
     "running_links": (running_links, f"SELECT page_id, {_same('loose', [c[1] for c in _RUNNING])}, {_same('strict', [c[2] for c in _RUNNING])} FROM pages"),
+    "embedded_posts": (embedded_posts, f"SELECT page_id, {_same('embed', [c[1] for c in _POSTS])} FROM pages"),
+    "opened_bodies": (opened_bodies, f"SELECT page_id, {_same('body', ['68656C6C6F', '1F8B0800', '706C61696E', None])} FROM pages"),
     "body_links": (body_links, f"SELECT page_id, {_same('links', [c[1] for c in _BODIES])} FROM pages"),
     "site_rules": (site_rules, f"SELECT page_id, {_same('profile', [c[1] for c in _SITES])}, {_same('n_headers', [c[2] for c in _SITES], 'BIGINT')}, {_sql([c[1] for c in _SITES])} IS NOT DISTINCT FROM 'account' AS asks_json, {_same('assets', [c[3] for c in _SITES])}, {_same('outlinks', [c[4] for c in _SITES])} FROM pages"),
     "xml_routes": (xml_routes, f"SELECT page_id, {_same('store', [c[1] for c in _STORES])}, {_same('sitemap', [c[1] for c in _SITEMAPS], 'BOOLEAN')}, CASE WHEN page_id % 3 = 0 THEN 'css' END AS css FROM pages"),

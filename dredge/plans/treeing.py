@@ -29,6 +29,10 @@ def tree_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.with_depth(_items(spark, sf_dir)).select("item_id", F.col("depth").cast("long").alias("depth"), F.col("plain_depth").cast("long").alias("plain_depth"), "path")
 
 
+def tree_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree.roots(tree.with_depth(_items(spark, sf_dir)))
+
+
 def tree_max_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.max_depth(tree.with_depth(_items(spark, sf_dir))).select("seed_id", F.col("max_depth").cast("long").alias("max_depth"))
 
@@ -76,6 +80,7 @@ _T = _I + """, t(item_id, depth, plain_depth, path) AS (SELECT item_id, 0, CASE
   UNION ALL SELECT i.item_id, t.depth + 1, t.plain_depth + CASE WHEN i.status = 'GotRedirected' THEN 0 ELSE 1 END, t.path || '/' || i.item_id FROM t JOIN i ON i.parent_id = t.item_id)"""
 QUERIES = {
     "tree_depths": (tree_depths, f"WITH RECURSIVE {_T} SELECT item_id, depth::BIGINT AS depth, plain_depth::BIGINT AS plain_depth, path FROM t"),
+    "tree_roots": (tree_roots, f"WITH RECURSIVE {_T} SELECT item_id, string_split(path, '/')[1] AS root FROM t"),
     "tree_max_depth": (tree_max_depth, f"WITH RECURSIVE {_T} SELECT seed_id, max(depth)::BIGINT AS max_depth FROM t JOIN i USING (item_id) GROUP BY 1"),
     "tree_deepest": (tree_deepest, f"WITH RECURSIVE {_T}, m AS (SELECT seed_id, item_id, depth, max(depth) OVER (PARTITION BY seed_id) AS x FROM t JOIN i USING (item_id)) SELECT item_id, seed_id FROM m WHERE depth = x"),
     "tree_dedupe": (tree_dedupe, f"WITH RECURSIVE {_T}, d AS (SELECT i.*, row_number() OVER (PARTITION BY seed_id, url, parent_id IS NULL ORDER BY (CASE WHEN status = 'Completed' THEN 0 ELSE 1 END), path) AS n FROM t JOIN i USING (item_id)) SELECT item_id, seed_id, url, status FROM d WHERE n = 1 OR parent_id IS NULL"),
