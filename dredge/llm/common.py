@@ -40,7 +40,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
 
 
 #: Bytes of an Arrow batch that a task holds on both sides.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

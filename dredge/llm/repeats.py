@@ -39,8 +39,8 @@ from dredge.llm.common import arrow_map, binary, gather, int64, partitions, sett
 
 #: Distinct runs of one anchor that one task compares; beyond, windows are keyed one by one.
 HOT = 1500
-#: Rows with run texts that a task holds at a time, rounded up to whole anchors.
-SLAB = 20_000
+#: Rows with run texts that a task compares at a time, rounded up to whole anchors.
+SLAB = 4_000
 
 
 @dataclass(frozen=True)
@@ -196,12 +196,13 @@ def _slabs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
             continue
         t = pa.Table.from_batches(held)
         h, s = t["h"].to_numpy(), t["salt"].to_numpy()
-        cut = np.flatnonzero((h[1:] != h[:-1]) | (s[1:] != s[:-1]))
-        if len(cut):
-            yield t.slice(0, cut[-1] + 1)
-            held = t.slice(cut[-1] + 1).combine_chunks().to_batches()
-        else:
-            held = t.combine_chunks().to_batches()
+        cut = np.flatnonzero((h[1:] != h[:-1]) | (s[1:] != s[:-1])) + 1
+        at = 0
+        while len(cut) and cut[-1] - at >= SLAB:
+            end = int(cut[np.searchsorted(cut, at + SLAB)])
+            yield t.slice(at, end - at)
+            at = end
+        held = t.slice(at).combine_chunks().to_batches()
     if held:
         yield pa.Table.from_batches(held)
 
