@@ -87,6 +87,17 @@ WITH b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS l FROM benc
 SELECT w.doc_id, len(l)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(l) AS contaminated FROM w LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
+OP3_SQL = """
+WITH b AS (SELECT doc_id, encode(coalesce(text, '')) AS t FROM documents),
+  g AS (SELECT doc_id, i, t[i:i + 99] AS s FROM (SELECT doc_id, t, unnest(range(1, octet_length(t) - 98)) AS i FROM b)),
+  m AS (SELECT s, min((doc_id, i)) AS f FROM g GROUP BY s HAVING count(*) > 1),
+  h AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g JOIN m USING (s) WHERE (doc_id, i) > f),
+  k AS (SELECT doc_id, i, count(*) FILTER (before IS NULL OR i > before + 100) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM h),
+  r AS (SELECT doc_id, n, min(i) AS a, max(i) + 99 AS z FROM k GROUP BY doc_id, n),
+  e AS (SELECT doc_id, sum(z - a + 1)::BIGINT AS gone, count(*) AS spans, list_concat([0], list(z ORDER BY a)) AS ends, list(a ORDER BY a) AS starts FROM r GROUP BY doc_id)
+SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN gone IS NULL THEN t ELSE list_reduce(list_transform(range(1, len(ends) + 1), lambda j: t[ends[j] + 1:coalesce(starts[j], octet_length(t) + 1) - 1]), lambda x, y: x || y) END) AS kept_sha256 FROM b LEFT JOIN e USING (doc_id)"""
+
 OP6_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), m AS (SELECT h, max(page_id) AS top FROM p WHERE strlen(h) >= 1000 GROUP BY h)
 SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN top > page_id THEN 'revisit' ELSE 'response' END AS record_type,
@@ -107,4 +118,4 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
 def oracle_sql() -> dict[str, str]:
     """SQL twins where SQL says the same; the other queries are held against brute force in the tests."""
-    return {"op1_substring_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_decontamination": OP2_SQL, "op3_suffix_dedup": OP3_SQL, "op6_warc": OP6_SQL, "op7_near_dedup": OP7_SQL}
