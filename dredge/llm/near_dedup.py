@@ -10,7 +10,8 @@ fewer), ASCII letters in lower case. Two documents are linked if 100 * intersect
 2.  A band bucket is represented by its smallest document, and every document is compared with one
     representative of its buckets, so a bucket of any size makes at most one candidate per member.
     The XOR population count of two odd sketches estimates how far the samples differ; pairs that
-    may be linked are confirmed on the full sets.
+    may be linked are confirmed on the full sets. Texts are shuffled for that only if a filter of the
+    pairs' documents lets them through; it has no false negatives.
 3.  Confirmed links are joined to components. Buckets whose members are all in one component need
     nothing more. In one of at most SMALL members the pairs in different components are candidates. A
     larger one is refined by a pivot, the member that shares most buckets with most others: every member
@@ -50,6 +51,9 @@ SIGMAS = 6.0
 SMALL, LEVELS = 64, 2
 #: Sides of a bucket's members: pairs are made within BOTH, and between ONE and OTHER.
 BOTH, ONE, OTHER = 1, 2, 4
+#: Longs of the filter that texts pass before a shuffle, at most: some 40 MB as a broadcast table. A document sets
+#: two bits of one long; with more than 4 documents a long the filter lets through more texts, and never fewer.
+FILTER_LONGS = 1 << 20
 _NO_CAP = 1 << 62
 
 _rng = np.random.Generator(np.random.PCG64(77))
@@ -200,8 +204,20 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _needed(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Texts of the documents of pairs (a, b), a written table, and a few others; nothing of the texts is shuffled."""
+    longs = min(FILTER_LONGS, 1 << (pairs.count() // 2).bit_length())
+    place = F.xxhash64("doc").bitwiseAND(longs - 1)
+    bits = F.expr("shiftleft(1L, cast(shiftright(xxhash64(doc), 40) & 63 as int)) | shiftleft(1L, cast(shiftright(xxhash64(doc), 50) & 63 as int))")
+    docs = pairs.select(F.explode(F.array("a", "b")).alias("doc"))
+    known = written(docs.groupBy(place.alias("place")).agg(F.bit_or(bits).alias("bits")), "filter")
+    held = texts.withColumn("place", place).join(F.broadcast(known), "place")
+    return held.where(F.col("bits").bitwiseAND(bits) == bits).select(texts.columns)
+
+
 def _compared(pairs: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
-    """Pairs (a, b) with both texts, ta and tb, and more columns. texts: (doc, text)."""
+    """Pairs (a, b), a written table, with both texts, ta and tb, and more columns. texts: (doc, text)."""
+    texts = _needed(texts, pairs)
     left = texts.select(F.col("doc").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("doc").alias("b"), F.col("text").alias("tb"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", *more)
@@ -297,7 +313,7 @@ def _links(sigs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
             new.append(check(_pairs(small, sigs, percent), "small"))
         last = large is None or large.isEmpty()
         if not last:
-            found = written(_deviations(_pivoted(large), texts, k, percent), "deviations")
+            found = written(_deviations(written(_pivoted(large), "pivoted"), texts, k, percent), "deviations")
             new.append(found.where("side = 0").select("a", "b"))
             members = found.where("side > 0").select("h", F.col("a").alias("doc"), "side", "excess", "cap")
         if any(not x.isEmpty() for x in new):

@@ -90,6 +90,45 @@ def test_refinement(spark, monkeypatch, small):
     assert 5 < len({c for _, _, c, _ in want}) < len(rows) - 30
 
 
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_without_candidates_stay(spark, monkeypatch, tmp_path):
+    """No pass over candidates shuffles the texts of documents that are in none, and small filters lose no link."""
+    monkeypatch.setattr(near_dedup, "SMALL", 3)
+    rng = random.Random(13)
+    word = lambda: f"{rng.getrandbits(60):x}"
+    rows = [(i, " ".join(word() for _ in range(1500))) for i in range(150)]
+    base = [word() for _ in range(100)]
+    for _ in range(20):
+        copy = list(base)
+        for _ in range(rng.randint(0, 6)):
+            copy[rng.randrange(len(copy))] = word()
+        rows.append((len(rows), " ".join(copy)))
+    want = sorted(near_dedup.brute(rows))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(near_dedup, "written", lambda x, name, real=near_dedup.written: seen.append(name) or real(x, name))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for longs in (1 << 20, 1):
+            seen, before = [], shuffled(spark)
+            monkeypatch.setattr(near_dedup, "FILTER_LONGS", longs, raising=False)
+            assert sorted(tuple(r) for r in near_dedup.measure(df).collect()) == want
+            assert {"confirmed-star", "deviations"} <= set(seen)
+            if longs > 1:  # with one long most texts pass
+                moved = shuffled(spark) - before
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert moved < 0.3 * sum(len(t) for _, t in rows)
+
+
 def test_near_dedup_empty(spark):
     assert near_dedup.measure(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
