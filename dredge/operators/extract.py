@@ -67,8 +67,14 @@ def links(responses: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFram
     base = ["page_url", "hops"]
     if "context" in responses.columns:
         base.append("context")
+    if config.max_outlinks > 0:
+        # Written with the rows, so that responses with one address are capped each by itself.
+        marked = marked.withColumn("__page", F.monotonically_increasing_id())
     marked = written(marked, "answers")
     text, page = F.col("text"), F.col("page_url")
+    context = base[2:]
+    if config.max_outlinks > 0:
+        base.append("__page")
 
     def flat(rows: DataFrame, array: Column, rank: int) -> DataFrame:
         found = rows.select(*base, F.posexplode(array).alias("pos", "link"))
@@ -117,7 +123,7 @@ def links(responses: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFram
     if config.max_outlinks > 0:
         from dredge.operators.fetch import cap_outlinks
 
-        every = cap_outlinks(every.where("kind = 'outlink'"), config.max_outlinks).unionByName(every.where("kind <> 'outlink'"))
+        every = cap_outlinks(every.where("kind = 'outlink'"), config.max_outlinks, ("__page",)).unionByName(every.where("kind <> 'outlink'"))
     kind = F.when(F.col("kind") == "found", "outlink").otherwise(F.col("kind"))
     hops = F.when(kind == "outlink", F.col("hops") + 1).otherwise(F.col("hops"))
-    return every.select("page_url", "url", kind.alias("kind"), "tag", "pos", hops.alias("hops"), *base[2:])
+    return every.select("page_url", "url", kind.alias("kind"), "tag", "pos", hops.alias("hops"), *context)

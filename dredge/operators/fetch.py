@@ -146,8 +146,12 @@ def sanitize(links: DataFrame, page_hops: str = "hops") -> DataFrame:
     return links.where(F.col("url").isNotNull() & (F.col("url") != F.col("page_url")) & ~C.skipped_protocol(F.col("url")))
 
 
-def cap_outlinks(links: DataFrame, limit: int) -> DataFrame:
-    """The first `limit` outlinks of each page by position; all if the limit is 0."""
+def cap_outlinks(links: DataFrame, limit: int, page: tuple[str, ...] = ("page_url",)) -> DataFrame:
+    """The first `limit` outlinks of each page by position; all if the limit is 0.
+
+    `page` names the columns that tell pages apart: an address alone doesn't where two pages have the same. A
+    page has one link at a position.
+    """
     if limit <= 0:
         return links
-    return links.withColumn("__n", F.row_number().over(Window.partitionBy("page_url").orderBy("pos"))).where(F.col("__n") <= limit).drop("__n")
+    return links.withColumn("__n", F.dense_rank().over(Window.partitionBy(*page).orderBy("pos"))).where(F.col("__n") <= limit).drop("__n")

@@ -28,7 +28,7 @@ def anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def capped_outlinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     links = targets(spark, sf_dir).select(F.col("url").alias("page_url"), "page_id", "pos", "target")
-    return fetch.cap_outlinks(links, 3).select("page_id", "pos", "target")
+    return fetch.cap_outlinks(links, 3, ("page_id", "page_url")).select("page_id", "pos", "target")
 
 
 def parsed_outlinks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from dredge.config import CrawlConfig
-from dredge.operators import domains, fetch, frontier, metrics, ratelimit, scope, seen, tree
+from dredge.operators import domains, extract, fetch, frontier, metrics, ratelimit, scope, seen, tree
+from dredge.plans import linking
 from dredge.schemas import FRONTIER
 from dredge.sources import lists
 from dredge.sources.archive_sink import CrawlArchive
@@ -186,3 +187,17 @@ def test_empty_tables(spark):
     assert frontier.pick(f, 3).count() == 0 and frontier.add(f, f).count() == 0
     events = spark.createDataFrame([], "code int, ms long, bytes long, seed_done boolean, challenge string")
     assert metrics.snapshot(events).collect()[0]["mean_response_ms"] == 0
+
+
+def test_capped_outlinks(spark, tmp_path):
+    """Pages with one address are capped each by itself, in the query and among the links of responses."""
+    page = "".join(f'<a href="/{{}}{i}">x</a>' for i in range(5))
+    rows = [(1, "http://s.test/p", page.replace("{}", "a")), (2, "http://s.test/p", page.replace("{}", "b")), (3, "http://s.test/q", '<a href="/c0">x</a>')]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    pages.write.parquet(str(tmp_path / "pages.parquet"))
+    got = linking.capped_outlinks(spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["pos"]) for r in got) == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1), (2, 2), (3, 0)]
+    answers = pages.selectExpr("url", "'text/html' AS mime", "map('content-type', 'text/html') AS headers", "html AS text", "0 AS hops")
+    found = extract.links(answers, CrawlConfig(max_outlinks=2))
+    assert sorted(r["url"] for r in found.collect()) == [f"http://s.test/{x}" for x in ("a0", "a1", "b0", "b1", "c0")]
+    assert found.columns == ["page_url", "url", "kind", "tag", "pos", "hops"]
