@@ -3,7 +3,8 @@
     pick -> normalise -> scope -> seen -> fetch -> outcome -> extract -> assets (same seed) and outlinks (new seeds)
 
 Each round is a plan of its own that ends in tables in the shared folder, so lineage stays short and a
-lost executor costs a task. Bodies are joined last and dropped first.
+lost executor costs a task. Bodies are joined last and dropped first. A round costs its own rows: the queue
+and the seen-set are tables by range, of which it reads what it meets (`rounds`), and so are captured responses.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from dredge.config import CrawlConfig
 from dredge.functions import columns as C
 from dredge.functions.html_links import decode_body
 from dredge.functions.web_url import normalize_url
-from dredge.operators import archive, domains, extract, fetch, ratelimit, scope, seen, store
+from dredge.operators import archive, domains, extract, fetch, ratelimit, rounds, scope, seen, store
 from dredge.operators.fetch import Fetcher
 
 #: What an item carries besides its link: redirects so far, depth below its seed without them, media class of
@@ -55,20 +56,21 @@ class CrawlJob:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def preprocess(self, rows: DataFrame, known: DataFrame, number: int) -> DataFrame:
-        """url, parent, kind and state of what is to be fetched: normalised, in scope, unseen, once each."""
+    def preprocess(self, rows: DataFrame, known: rounds.Seen, number: int) -> tuple[DataFrame, tuple[str | None, str | None]]:
+        """url, parent, kind and state of what is to be fetched: normalised, in scope, unseen, once each; and the range of the URLs."""
         c = self.config
         done = rows.withColumn("n", normalize_url(F.col("raw"), F.col("parent"), c.max_url_length, c.max_segment_repetition, c.max_segment_threshold))
         done = self._keep(done.select(F.col("n.url").alias("url"), F.col("n.error").alias("error"), "parent", "kind", *_STATE), f"normal-{number}")
+        span = tuple(done.agg(F.min("url"), F.max("url")).first())
         good = done.where("url is not null").where(scope.in_scope(F.col("url"), c))
         good = good.where((F.col("kind") == "seed") | (F.col("redirects") > 0) | ~C.path(F.col("url")).isin("", "/"))
         order = F.struct("hops", F.when(F.col("kind") == "seed", 0).otherwise(1), "redirects", "parent")
         first = good.groupBy("url").agg(F.min_by(F.struct("parent", "kind", *_STATE), order).alias("r")).select("url", "r.*")
         if c.disable_seencheck:
-            return first
+            return first, span
         # Where a redirect leads is fetched though it was seen: it is the same item.
-        checked = seen.check(first, known, ["hops", "kind"])
-        return checked.where("verdict <> 'seen' OR redirects > 0").drop("verdict")
+        checked = seen.check(first, known.within(*span), ["hops", "kind"])
+        return checked.where("verdict <> 'seen' OR redirects > 0").drop("verdict"), span
 
     def fetched(self, todo: DataFrame) -> DataFrame:
         """todo joined with the attempts that end their retries; what a browser has captured needs no status."""
@@ -124,29 +126,26 @@ class CrawlJob:
         patterns = domains.classify(list(c.domains_crawl))
         none = F.lit(None).cast("string")
         queue = seeds.select(F.col("value").alias("raw"), none.alias("parent"), F.lit("seed").alias("kind"), F.lit(0).alias("hops"), none.alias("via"), F.lit(0).alias("redirects"), F.lit(0).alias("depth"), none.alias("up"), F.lit(None).cast("int").alias("jumps"))
-        queue = self._keep(queue, "queue-0")
-        known = spark.createDataFrame([], "url string, kind string")
-        number = 0
-        while number < c.max_rounds and (waiting := queue.count()):
+        waiting, known = rounds.Waiting(spark, self._keep, _QUEUE), rounds.Seen(spark, self._keep)
+        waiting.add(queue, c.batch)
+        number, linked = 0, False
+        while number < c.max_rounds and waiting.rows:
             if self.reload is not None:
                 c = self.config = self.reload(c)
-            picked, rest = queue, None
-            if waiting > c.batch:
-                picked = self._keep(queue.orderBy("hops", "raw").limit(c.batch), f"picked-{number}")
-                same = [queue[x].eqNullSafe(picked[x]) for x in queue.columns]
-                rest = queue.join(picked, same, "left_anti")
-            todo = self._keep(self.preprocess(picked, known, number), f"todo-{number}")
+            todo, span = self.preprocess(waiting.take(c.batch), known, number)
+            todo = self._keep(todo, f"todo-{number}")
             got = self._keep(self.settled(self.fetched(todo)), f"got-{number}")
-            known = self._keep(seen.merge(known, todo.select("url", "kind")), f"seen-{number}")
+            known.add(todo.select("url", "kind"), *span)
             self._keep(got.select("url", "kind", "hops", "via", "redirects", "depth", "status", "result", "discard_reason", "mime", F.sha2("body", 256).alias("digest"), F.octet_length("body").alias("size"), "state"), f"captures/round={number}")
-            moved = got.where("next = 'redirect'").select(F.col("location").alias("raw"), F.col("url").alias("parent"), "kind", "hops", F.col("url").alias("via"), (F.col("redirects") + 1).alias("redirects"), "depth", "up", "jumps")
-            new = moved.unionByName(self.children(self.extracted(got, number), patterns))
+            new = got.where("next = 'redirect'").select(F.col("location").alias("raw"), F.col("url").alias("parent"), "kind", "hops", F.col("url").alias("via"), (F.col("redirects") + 1).alias("redirects"), "depth", "up", "jumps")
+            if not got.where("next = 'extract'").isEmpty():
+                new, linked = new.unionByName(self.children(self.extracted(got, number), patterns)), True
             number += 1
-            queue = self._keep((rest.unionByName(new) if rest is not None else new).distinct(), f"queue-{number}")
+            waiting.add(new, c.batch)
+        empty = lambda kind: spark.createDataFrame([], kind + ", round int")
         if not number:
-            empty = lambda kind: spark.createDataFrame([], kind + ", round int")
-            return CrawlResult(empty(_CAPTURE).withColumn("revisit_of", none), empty(_LINK), queue, known, 0, True)
+            return CrawlResult(empty(_CAPTURE).withColumn("revisit_of", none), empty(_LINK), waiting.table(), known.table(), 0, True)
         captures = spark.read.schema(_CAPTURE + ", round int").parquet(f"{self.folder}/captures")
         captures = archive.revisits(captures, ["round"], c.dedupe_min_size)
-        links = spark.read.schema(_LINK + ", round int").parquet(f"{self.folder}/links")
-        return CrawlResult(captures, links, queue, known, number, queue.isEmpty())
+        links = spark.read.schema(_LINK + ", round int").parquet(f"{self.folder}/links") if linked else empty(_LINK)
+        return CrawlResult(captures, links, waiting.table(), known.table(), number, not waiting.rows)

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from dredge.config import CrawlConfig
 from dredge.functions import columns as C
+from dredge.operators.store import written
 
 
 class Fetcher(Protocol):
@@ -26,14 +27,20 @@ class Fetcher(Protocol):
 class ReplayFetcher:
     """Joins on URL with captured responses (url, status, headers, body); the first attempt comes first.
 
-    Bodies stay in the captured table until here, so no earlier shuffle carries them.
+    Bodies stay in the captured table until here, so no earlier shuffle carries them. The first fetch writes the
+    table in order of URL; a fetch reads of it the range of its URLs, and only what it asks for is shuffled.
     """
 
     def __init__(self, responses: DataFrame) -> None:
         self.responses = responses if "attempt" in responses.columns else responses.withColumn("attempt", F.lit(0))
+        self.ordered: DataFrame | None = None
 
     def fetch(self, urls: DataFrame) -> DataFrame:
-        return urls.join(self.responses, "url", "left")
+        if self.ordered is None:
+            self.ordered = written(self.responses.repartitionByRange("url").sortWithinPartitions("url"), "responses")
+        low, high = urls.agg(F.min("url"), F.max("url")).first()
+        asked = self.ordered.where(F.col("url").between(low, high)).join(urls.select("url"), "url", "left_semi")
+        return urls.join(asked, "url", "left")
 
 
 def outcome(attempts: DataFrame, config: CrawlConfig = CrawlConfig()) -> DataFrame:
